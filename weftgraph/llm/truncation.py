@@ -31,8 +31,10 @@ _STAND_IN = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.\.\.)\s*\]|[\[(<{]\s*
 _BRACKET_STAND_IN = re.compile(r"[\])>}]\s*$")
 _TERMINATOR = re.compile(r"[.!?。！？｡؟।][\"'”’»)\]`*_]*$")
 _TRAILS_OFF = re.compile(r"(?:\b(?:and so on|and so forth|etc|usw|et cetera|etcétera|y así|und so weiter|ainsi de suite|hmm+|well|wait|so|anyway|or not|maybe|who knows)|など)$", re.I)
-_OPEN_PATH = re.compile(r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.$")
-_PATHLIKE = re.compile(r"(?:^|\s)(?:src|lib|pkg|app|internal|packages|tests?)/[\w./-]*$")
+#: A source path that ends at the dot before its suffix.
+_OPEN_PATH = re.compile(r"(?:^|[\s`(\"'])(?:src|lib|pkg|app|internal|packages|tests?)/(?:[\w-]+/)*[\w-]+\.$")
+#: A rule across the page that says the text was cut.
+_RULE = re.compile(r"\n\s*[-=*_~]{2,}[^\n]*\b(?:cut|snip|truncated|too (?:large|long)|clipped|omitted|continued)\b[^\n]*[-=*_~]{2,}\s*$", re.I)
 _STRUCTURED = re.compile(r"^\s*(?:[\[{]|\$ |at \w|\w*Error: )")
 _BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z#0-9]{0,7}|\\)$")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -95,7 +97,7 @@ def judge(text: str | None) -> tuple[str, str, str, int]:
     last = end.split("\n")[-1].strip()
     if last.startswith("```"):
         return COMPLETE, "", "", 0
-    if _BROKEN.search(last):
+    if _BROKEN.search(last) or _RULE.search(end):
         return CUT, "", "", 0
     stand = _STAND_IN.search(end)
     if stand:
@@ -108,7 +110,7 @@ def judge(text: str | None) -> tuple[str, str, str, int]:
     if "`" in last and "\n".join(last_prose).count("`") % 2:
         return CUT, "", "", 0
     if _TERMINATOR.search(last):
-        if _OPEN_PATH.search(last) and _PATHLIKE.search(last):
+        if _OPEN_PATH.search(last):
             return CUT, "", "", 0
         return COMPLETE, "", "", 0
     pieces = _TOKEN.findall(last)
