@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DEFAULT[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once per application, so that functions resolve there even
+    where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="weftgraph-zip-"), "weftgraph")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), "weftgraph"))
+
+
 class Stash:
     """Intermediate tables of one operator run, written to the shared folder so that lost executors cost a
     re-read and not a recomputation. ``put`` may name a slot; an older table in the slot is deleted once
