@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import authorship, mixing, neighbours, tokenizer, truncation
+from weftgraph.llm import authorship, credentials, mixing, neighbours, tokenizer, truncation
 from weftgraph.tables import load
 
 DIM = 384
@@ -37,6 +37,16 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return authorship.unwritten(load(spark, d, "code_nodes").select(*_FILE))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = credentials.find(load(spark, d, "code_nodes").select(*_FILE))
+    return found.select("id", "line_no").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    nodes = load(spark, d, "code_nodes").select(*_FILE)
+    return credentials.redact(nodes, credentials.find(nodes)[1])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(load(spark, d, "documents").select("doc_id", "text"))
 
@@ -67,5 +77,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _truncated(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), cut.alias("n_cut"), F.round(cut / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_knn, p3_found, p3_reasons, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_knn, p3_found, p3_reasons, p6_found, p6_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
