@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import authorship, credentials, mixing, neighbours, tokenizer, truncation
+from weftgraph.llm import authorship, credentials, mixing, neighbours, parsing, tokenizer, truncation
 from weftgraph.tables import load
 
 DIM = 384
@@ -37,6 +37,18 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return authorship.unwritten(load(spark, d, "code_nodes").select(*_FILE))
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.verdicts(load(spark, d, "code_nodes").select(*_FILE, "metadata"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d).where(~F.col("ok")).select("id")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(_verdicts(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found, _ = credentials.find(load(spark, d, "code_nodes").select(*_FILE))
     return found.select("id", "line_no").distinct()
@@ -77,5 +89,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _truncated(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), cut.alias("n_cut"), F.round(cut / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_knn, p3_found, p3_reasons, p6_found, p6_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_knn, p3_found, p3_reasons, p4_found, p4_rates, p6_found, p6_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
