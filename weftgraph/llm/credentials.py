@@ -259,10 +259,12 @@ def _scan(nodes: DataFrame) -> DataFrame:
                 test = _test_path(path)
                 for c in found:
                     rows.append((o, bisect_right(ends, c.start - 1) + 1, c.start, c.end, c.value, c.left, c.kind, c.quoted, c.comment, c.alone, config, test, None, None))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            if rows:
+                yield pd.DataFrame(rows, columns=_COLUMNS)
         at = np.flatnonzero(pairs)
         none = [None] * len(at)
-        yield pd.DataFrame({c: none for c in _COLUMNS} | {"pair": at, "n": pairs[at]}, columns=_COLUMNS)
+        if len(at):
+            yield pd.DataFrame({c: none for c in _COLUMNS} | {"pair": at, "n": pairs[at]}, columns=_COLUMNS)
 
     slim = nodes.where(F.col("content").isNotNull()).select("ord", "file_path", "content")
     return slim.mapInPandas(run, "ord long, line_no long, start long, end long, value string, left string, kind string, quoted boolean, comment boolean, alone boolean, config boolean, test boolean, pair long, n long")
