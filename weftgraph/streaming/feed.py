@@ -106,7 +106,7 @@ def job_status(events: DataFrame, now: str) -> DataFrame:
     last event decides; a failure is retried up to three times, a job running over half an hour is stuck."""
     last = events.groupBy("job").agg(F.max(F.struct("at", "what")).alias("l"), F.sum((F.col("what") == "failed").cast("int")).alias("failures"))
     what, at = F.col("l.what"), F.col("l.at")
-    wait = F.try_element_at(F.array(*[F.lit(w) for w in RETRY_WAITS]), F.col("failures"))
+    wait = F.try_element_at(F.array(*[F.lit(w) for w in RETRY_WAITS]), F.col("failures").cast("int"))
     age = F.timestamp_diff("SECOND", at, F.to_timestamp(F.lit(now)))
     status = F.when(what == "succeeded", "success").when(what == "cancelled", "cancelled").when((what == "failed") & (F.col("failures") > len(RETRY_WAITS)), "dead").when(what == "failed", "failed").when((what == "started") & (age > STUCK_AFTER), "dead").when(what == "started", "running").otherwise("pending")
     return last.select("job", status.alias("status"), F.when(status == "failed", F.timestamp_add("SECOND", wait, at)).alias("retry_at"))
