@@ -63,7 +63,8 @@ _WORD, _DIGITS, _TEXT = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d+(?:\.\d+)?"
 
 
 def suffix(path: str) -> str:
-    return path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    _, dot, end = path.rsplit("/", 1)[-1].rpartition(".")
+    return end.lower() if dot else ""
 
 
 def opening_comment(lines: list[str]) -> list[str]:

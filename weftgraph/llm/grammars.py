@@ -212,7 +212,7 @@ class Script(Newlines):
 
 def _make_script(ts: bool) -> Script:
     text = _script(ts).replace("KEYWORD", " | ".join(f"'{w}'" for w in _JS_HARD.split()))
-    end = ") ] } ++ -- this super null true false return break continue debugger" + (" > void" if ts else "")
+    end = ") ] } ++ -- this super null true false return break continue debugger" + (" > void !" if ts else "")
     return Script(
         "typescript" if ts else "javascript", text, ["file"], _JS_HARD, r"[ \t\r\f\v ﻿]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\A#![^\n]*",
         rf"\n\s*|{_JS_REGEX}|{_JS_STR}|#?[^\W\d][\w$]*|\$[\w$]*|{_NUM}n?|{_JS_OPS}", enders=end, starters="++ -- ! ~ @ # PRIVATE", never="in of instanceof as else catch finally extends implements satisfies from",
@@ -617,7 +617,7 @@ mlhs = mitem (',' mitem)+ ','? | mitem ',' ;
 mitem = '*'? postfix | '*' | '(' mlhs ')' ;
 mrhs = marg (',' marg)* | command ;
 marg = '*'? expr ;
-command = (postfix '.' callname | postfix '&.' callname | callname | 'yield' | 'super' | 'return' | 'break' | 'next') cargs doblock? | postfix aop NL? (command | mrhs) | ('return' | 'break' | 'next') command | '!' command ;
+command = (postfix '.' callname | postfix '&.' callname | ID | CONST | METHOD | 'yield' | 'super' | 'return' | 'break' | 'next') cargs doblock? | postfix aop NL? (command | mrhs) | ('return' | 'break' | 'next') command | '!' command ;
 cargs = carg (',' NL? carg)* (',' command)? ;
 carg = '*' expr | '**' expr | '&' expr | LABEL NL? expr? | STR ':' expr | expr ('=>' NL? expr)? | '*' | '&' ;
 aop = '=' | OPASGN ;

@@ -192,7 +192,8 @@ def nearest(
         if last is not None:
             yield packed(last[0], last[2], last[3])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 60000)
+    # Few rows share one partition, so that a small input is searched whole; many rows get partitions of at most 60,000.
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)), n // 60000, 1)
     found = None
     for c in range(curves):
         order = [F.col("key"), F.col("vid")]

@@ -25,7 +25,8 @@ def parses(path: str | None, text: str | None) -> bool | None:
     """None where there is nothing to judge."""
     if not isinstance(path, str) or not isinstance(text, str):
         return None
-    lang = language(path.rsplit("/", 1)[-1].rpartition(".")[2].lower())
+    _, dot, suffix = path.rsplit("/", 1)[-1].rpartition(".")
+    lang = language(suffix.lower()) if dot else None
     if lang is None:
         return None
     return lang.parses(text.removeprefix("﻿"))
