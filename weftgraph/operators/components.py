@@ -14,14 +14,31 @@ from pyspark.sql import functions as F
 from weftgraph.session import Stash
 
 
-def _spread(labels: DataFrame, steps: DataFrame, stash: Stash, slot: str) -> DataFrame:
-    """Least label over all nodes that reach a node along ``steps``."""
+_BATCH = 3
+
+
+def _trim(steps: DataFrame) -> DataFrame:
+    """Steps whose two ends both have a step in and a step out."""
+    heads = steps.select(F.col("dst").alias("__x")).distinct()
+    tails = steps.select(F.col("src").alias("__y")).distinct()
+    return steps.join(heads, F.col("src") == F.col("__x"), "left_semi").join(tails, F.col("dst") == F.col("__y"), "left_semi")
+
+
+def _spread(ids: DataFrame, steps: DataFrame, stash: Stash) -> DataFrame:
+    """``id, fore, back``: the least id that reaches a node, and the least it reaches. Both directions travel in
+    one join; several rounds run between two writes, a write without a change ends the loop."""
+    ways = stash.put(steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("f")).unionByName(steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("f"))), "ways")
+    labels = stash.put(ids.select("id", F.col("id").alias("fore"), F.col("id").alias("back")), "labels")
     changed = 1
     while changed:
-        offer = steps.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("__d")).agg(F.min("label").alias("__l"))
+        nxt = labels.withColumn("__f0", F.col("fore")).withColumn("__b0", F.col("back"))
+        for _ in range(_BATCH):
+            sent = ways.join(nxt.select(F.col("id").alias("a"), "fore", "back"), "a")
+            offer = sent.groupBy(F.col("b").alias("__d")).agg(F.min(F.when(F.col("f"), F.col("fore"))).alias("__f"), F.min(F.when(~F.col("f"), F.col("back"))).alias("__b"))
+            nxt = nxt.join(offer, F.col("id") == F.col("__d"), "left").select("id", F.least("fore", "__f").alias("fore"), F.least("back", "__b").alias("back"), "__f0", "__b0")
         seen = Observation()
-        nxt = labels.join(offer, F.col("id") == F.col("__d"), "left").select("id", F.least("label", "__l").alias("label"), (F.col("__l") < F.col("label")).alias("__c"))
-        labels = stash.put(nxt.observe(seen, F.coalesce(F.sum(F.col("__c").cast("int")), F.lit(0)).alias("n")), slot).select("id", "label")
+        moved = ((F.col("fore") != F.col("__f0")) | (F.col("back") != F.col("__b0"))).cast("int")
+        labels = stash.put(nxt.observe(seen, F.coalesce(F.sum(moved), F.lit(0)).alias("n")).select("id", "fore", "back"), "labels")
         changed = seen.get["n"]
     return labels
 
@@ -36,19 +53,13 @@ def strong_components(steps: DataFrame) -> DataFrame:
         before = -1
         while n and n != before:
             before = n
-            heads = open_.select(F.col("dst").alias("__x")).distinct()
-            tails = open_.select(F.col("src").alias("__y")).distinct()
             seen = Observation()
-            kept = open_.join(heads, F.col("src") == F.col("__x"), "left_semi").join(tails, F.col("dst") == F.col("__y"), "left_semi")
-            open_ = stash.put(kept.observe(seen, F.count("*").alias("n")), "open")
+            open_ = stash.put(_trim(_trim(open_)).observe(seen, F.count("*").alias("n")), "open")
             n = seen.get["n"]
         if not n:
             break
-        ids = open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct().select("id", F.col("id").alias("label"))
-        ids = stash.put(ids, "ids")
-        fore = _spread(ids, open_, stash, "fore")
-        back = _spread(ids, open_.select(F.col("dst").alias("src"), F.col("src").alias("dst")), stash, "back")
-        both = stash.put(fore.join(back.select("id", F.col("label").alias("__b")), "id").withColumn("closed", F.col("label") == F.col("__b")), "both")
+        ids = open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct()
+        both = stash.put(_spread(ids, open_, stash).select("id", F.col("fore").alias("label"), F.col("back").alias("__b"), (F.col("fore") == F.col("back")).alias("closed")), "both")
         rounds += 1
         found = stash.put(both.where("closed").select("id", F.col("label").alias("component")), f"found-{rounds}")
         done = found if done is None else done.unionByName(found)
