@@ -91,10 +91,13 @@ def candidates(text: str, config: bool) -> list[Candidate]:
             s, e = m.span(1)
             out.append(Candidate(s, e, m.group(1), "", "url", True, False, ((s, e),), False))
             taken.append(m.span())
-    upto = 0
+    upto, k = 0, 0
+    taken.sort()
     for m in _VALUE.finditer(text):
         s, e = m.span(2)
-        if s < upto or any(a <= s < b for a, b in taken):
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if s < upto or (k < len(taken) and taken[k][0] <= s):
             continue
         v = m.group(2)
         quoted = m.group(1) in "\"'`"

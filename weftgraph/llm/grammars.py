@@ -692,7 +692,7 @@ def _make_ruby() -> Ruby:
     regex = r"(?:(?<=[=(,\[!&|?{};\n~])|(?<=[=(,\[!&|?{};~] )|(?<=when )|(?<=if )|(?<=unless )|(?<=and )|(?<=or )|(?<=return )|(?<=match )|(?<=split ))/(?![= ])(?:\\[^\n]|[^/\\\n])*/[a-z]*"
     return Ruby(
         "ruby", _RUBY, ["file"], _RUBY_HARD, r"[ \t\r﻿]+|\\\r?\n|(?m:^)=begin\b[\s\S]*?\n=end[^\n]*|#[^\n]*|(?m:^)__END__\r?\n[\s\S]*",
-        rf"\n\s*|{regex}|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\|)|\"(?:[^\"\\]|\\[\s\S])*\"(?=:[^:])|'(?:[^'\\]|\\[\s\S])*'|\"(?:[^\"\\]|\\[\s\S])*\"|`(?:[^`\\]|\\[\s\S])*`|[@$]+\w+|\$[!@&~0-9?:;,./\\<>_]|:(?:{_ID}[?!=]?(?![=~>])|\"(?:[^\"\\]|\\.)*\"|[+\-*/<>=!~%&|^]+|\[\]=?)|{_ID}[?!](?![=~])|defined\?|{_ID}:(?!:)|{_ID}|{_NUM}(?:r|i)?|\?\w(?!\w)|\*\*=|<=>|===|\.\.\.|<<=|>>=|&&=|\|\|=|->|=>|==|!=|=~|!~|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|\.\.|&\.|::|[()\[\]{{}},:;.=+\-*/%&|^~<>!?]",
+        rf"\n\s*|{regex}|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\|)|\"(?:[^\"\\]|\\[\s\S])*\"(?=:[^:])|'(?:[^'\\]|\\[\s\S])*'|\"(?:[^\"\\]|\\[\s\S])*\"|`(?:[^`\\]|\\[\s\S])*`|[@$]{{1,2}}\w+|\$[!@&~0-9?:;,./\\<>_]|:(?:{_ID}[?!=]?(?![=~>])|\"(?:[^\"\\]|\\.)*\"|[+\-*/<>=!~%&|^]+|\[\]=?)|{_ID}[?!](?![=~])|defined\?|{_ID}:(?!:)|{_ID}|{_NUM}(?:r|i)?|\?\w(?!\w)|\*\*=|<=>|===|\.\.\.|<<=|>>=|&&=|\|\|=|->|=>|==|!=|=~|!~|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|\.\.|&\.|::|[()\[\]{{}},:;.=+\-*/%&|^~<>!?]",
         enders=") ] } end self nil true false return break next redo retry then do else begin ensure yield super rescue | || CONST METHOD IVAR SYMBOL WORDS LABEL * class", never=". &.", emit="NL",
     )
 

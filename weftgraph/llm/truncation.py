@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 CUT, COMPLETE, UNDECIDED = "cut", "complete", "undecided"
 
-_STAND_IN = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.\.\.)\s*\]|[\[(<{]\s*/?(?:snip(?:ped)?|cut|more|truncated|continued|continues|clipped|omitted|shortened|rest (?:cut|omitted))\b[^\])>}\n]{0,40}[\])>}]|\(\+\d+ (?:more )?(?:chars?|characters|bytes|lines)\)|\b(?:read more|see more|show more)))+\s*$", re.I)
+_STAND_IN = re.compile(r"(?:\s*+(?:…|\.{3,}+|\[\s*(?:…|\.\.\.)\s*\]|[\[(<{]\s*/?(?:snip(?:ped)?|cut|more|truncated|continued|continues|clipped|omitted|shortened|rest (?:cut|omitted))\b[^\])>}\n]{0,40}[\])>}]|\(\+\d+ (?:more )?(?:chars?|characters|bytes|lines)\)|\b(?:read more|see more|show more)))++\s*$", re.I)
 _BRACKET_STAND_IN = re.compile(r"[\])>}]\s*$")
 _TERMINATOR = re.compile(r"[.!?。！？｡؟।][\"'”’»)\]`*_]*$")
 _TRAILS_OFF = re.compile(r"(?:\b(?:and so on|and so forth|etc|usw|et cetera|etcétera|y así|und so weiter|ainsi de suite|hmm+|well|wait|so|anyway|or not|maybe|who knows)|など)$", re.I)
@@ -41,6 +41,7 @@ _SIGNATURE = re.compile(r"^--? ?[A-Z][\w.-]*(?: [A-Z][\w.-]*){0,3}$")
 _SPEAKER = re.compile(r"^[\w.-]{1,20}: ")
 _STRUCTURED = re.compile(r"^\s*(?:[\[{]|\$ |at \w|\w*Error: )")
 _BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z#0-9]{0,7}|\\)$")
+_TAIL = 400
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 
@@ -101,12 +102,13 @@ def judge(text: str | None) -> tuple[str, str, str, int]:
     last = end.split("\n")[-1].strip()
     if last.startswith("```"):
         return COMPLETE, "", "", 0
-    if _BROKEN.search(last) or _RULE.search(end):
+    tail = end[-_TAIL:]  # what stands in for a rest stands at the very end; the whole text was read above
+    if _BROKEN.search(last[-_TAIL:]) or _RULE.search(tail):
         return CUT, "", "", 0
-    stand = _STAND_IN.search(end)
+    stand = _STAND_IN.search(tail)
     if stand:
-        body = end[: stand.start()].rstrip()
-        if _TRAILS_OFF.search(body) and not _BRACKET_STAND_IN.search(stand.group()):
+        body = end[: len(end) - len(tail) + stand.start()].rstrip()
+        if _TRAILS_OFF.search(body[-_TAIL:]) and not _BRACKET_STAND_IN.search(stand.group()):
             return COMPLETE, "", "", 0
         return (CUT if body else COMPLETE), "", "", 0
     if _STRUCTURED.match(last) and _line_open(last):
@@ -115,8 +117,8 @@ def judge(text: str | None) -> tuple[str, str, str, int]:
         return CUT, "", "", 0
     if _SIGNATURE.match(last):
         return COMPLETE, "", "", 0
-    if _TERMINATOR.search(last):
-        if _OPEN_PATH.search(last):
+    if _TERMINATOR.search(last[-_TAIL:]):
+        if _OPEN_PATH.search(last[-_TAIL:]):
             return CUT, "", "", 0
         return COMPLETE, "", "", 0
     pieces = _TOKEN.findall(last)
