@@ -25,9 +25,18 @@ def node_id(kind: Column, path: Column, name: Column) -> Column:
     return F.concat_ws(":", kind, path, name)
 
 
-def nodes(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    """Current nodes with the named columns; only these are read and shuffled."""
-    return current_nodes(load(spark, d, "code_nodes"), columns)
+def nodes(spark: SparkSession, d: str, columns: list[str], kinds: list[str] | None = None) -> DataFrame:
+    """Current nodes with the named columns; only these are read and shuffled.
+
+    Ids of the code tables start with their kind, so ``kinds`` becomes a prefix filter that reaches the scan and
+    keeps other kinds out of the shuffle."""
+    rows = load(spark, d, "code_nodes")
+    if kinds is not None:
+        wanted = F.lit(False)
+        for k in kinds:
+            wanted = wanted | F.col("id").startswith(f"{k}:")
+        rows = rows.where(wanted)
+    return current_nodes(rows, columns)
 
 
 def current_nodes(rows: DataFrame, columns: list[str]) -> DataFrame:

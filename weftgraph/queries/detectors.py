@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import INTENT_RULES, TEST_FILE
-from weftgraph.graph import GRAPH_SQL, edges, meta, meta_sql, nodes
+from weftgraph.graph import EDGES_SQL, GRAPH_SQL, edges, meta, meta_sql, nodes
 from weftgraph.operators import components as C
 from weftgraph.operators import detect as D
 from weftgraph.operators import flows as W
@@ -45,7 +45,7 @@ _FILES = " AND source IN (SELECT id FROM nodes WHERE kind = 'file') AND target I
 
 
 def _import_cycles(spark, d):
-    files = nodes(spark, d, ["id", "kind"]).where("kind = 'file'")
+    files = nodes(spark, d, ["id", "kind"], ["file"])
     steps = steps_of(edges(spark, d, ["imports"]))
     steps = steps.join(files.select(F.col("id").alias("src")), "src", "left_semi").join(files.select(F.col("id").alias("dst")), "dst", "left_semi")
     return C.strong_components(steps.select("src", "dst"))
@@ -61,7 +61,10 @@ def c1_call_cycles(spark, d):
     return C.strong_components(steps_of(edges(spark, d, ["calls"])))
 
 
-@_register(None)
+@_register(f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT source AS src, target AS dst FROM edges WHERE kind = 'extends'), ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+cl AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM cl c JOIN e ON e.src = c.dst), cyc AS (SELECT src AS id FROM cl WHERE src = dst), bad AS (SELECT id FROM cyc UNION SELECT dst FROM cl WHERE src IN (SELECT id FROM cyc)),
+walk AS (SELECT id, 0 AS layer FROM ids WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.layer + 1 FROM walk w JOIN e ON e.src = w.id WHERE e.dst NOT IN (SELECT id FROM bad)),
+top AS (SELECT id, max(layer) AS layer FROM walk GROUP BY 1) SELECT i.id, t.layer FROM ids i LEFT JOIN top t USING (id)""")
 def c4_extends_layers(spark, d):
     return C.layers(steps_of(edges(spark, d, ["extends"])))
 
@@ -97,6 +100,13 @@ def r1_dead_scoped(spark, d):
     return D.dead_scoped(nodes(spark, d, _SLIM), edges(spark, d)).select("id")
 
 
+@_register(f"WITH {GRAPH_SQL} SELECT id FROM nodes WHERE NOT coalesce(exported, false) AND kind IN ('function', 'method', 'class') AND id NOT IN (SELECT target FROM edges WHERE kind NOT IN ('contains', 'has_member'))")
+def r1_dead_scoped_uncontained(spark, d):
+    """All of them, not counting the links from a container to its members."""
+    e = edges(spark, d).where(~F.col("kind").isin("contains", "has_member"))
+    return D.dead_scoped(nodes(spark, d, _SLIM), e, limit=None).select("id")
+
+
 @_register(f"WITH {GRAPH_SQL} SELECT n.id, count(*) AS n_out FROM nodes n JOIN edges e ON e.source = n.id GROUP BY n.id, n.ord HAVING count(*) > 10 ORDER BY n_out DESC, n.ord, n.id LIMIT 10")
 def r2_god_nodes(spark, d):
     return D.god_nodes(nodes(spark, d, _SLIM), edges(spark, d))
@@ -122,7 +132,7 @@ def r4_hotspots(spark, d):
 @_register(f"""WITH {GRAPH_SQL}, c AS (SELECT n.id, least(50, 1 + count(e.target) // 2) AS cyclomatic FROM nodes n LEFT JOIN edges e ON e.source = n.id AND e.kind = 'calls' WHERE n.kind IN ('function', 'method') GROUP BY n.id)
 SELECT id, CAST(cyclomatic AS BIGINT) AS cyclomatic, CAST(ceil(cyclomatic * CAST(1.3 AS DOUBLE)) AS BIGINT) AS cognitive, CASE WHEN cyclomatic > 20 THEN 'CRITICAL' WHEN cyclomatic > 10 THEN 'HIGH' WHEN cyclomatic > 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c""")
 def d1_complexity(spark, d):
-    return D.complexity(nodes(spark, d, ["id", "ord", "kind"]), edges(spark, d, ["calls"]))
+    return D.complexity(nodes(spark, d, ["id", "ord", "kind"], ["function", "method"]), edges(spark, d, ["calls"]))
 
 
 _COUNT = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in [r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bdo\b", r"\bcase\b", r"\bcatch\b", "&&", r"\|\|", r"\?[^?]|\?$"])
@@ -131,7 +141,7 @@ _COUNT = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in [r"\bif\
 @_register(f"""WITH {GRAPH_SQL}, c AS (SELECT id, 1 + {_COUNT} AS cyclomatic FROM nodes WHERE kind IN ('function', 'method') AND content IS NOT NULL)
 SELECT id, CAST(cyclomatic AS BIGINT) AS cyclomatic, CAST(ceil(cyclomatic * CAST(1.3 AS DOUBLE)) AS BIGINT) AS cognitive FROM c""")
 def d2_text_complexity(spark, d):
-    return D.text_complexity(nodes(spark, d, ["id", "ord", "kind", "content"]))
+    return D.text_complexity(nodes(spark, d, ["id", "ord", "kind", "content"], ["function", "method"]))
 
 
 _DEP = f"""SELECT id, name, file_path FROM nodes WHERE contains(coalesce({meta_sql('jsdoc')}, ''), '@deprecated') OR contains(coalesce({meta_sql('comment')}, ''), '@deprecated') OR contains(coalesce({meta_sql('doc')}, ''), '@deprecated')

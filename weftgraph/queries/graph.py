@@ -18,7 +18,8 @@ START = "startService"
 
 def _gql(text: str, part: str, columns: list[str] | None = None):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        result = gql.run(text, nodes(spark, d, _META), edges(spark, d))
+        kind = getattr(gql.parse(text), "kind", "*")
+        result = gql.run(text, nodes(spark, d, _META, None if kind == "*" else [kind]), edges(spark, d))
         if isinstance(result, gql.GqlError):
             raise ValueError(result.message)
         df = getattr(result, part)
@@ -191,12 +192,12 @@ def sv9_graph_page(spark, d):
 @_register(f"""WITH {GRAPH_SQL}, l AS (SELECT id, ord, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM nodes WHERE kind = 'file' AND content IS NOT NULL)
 SELECT id, CAST(line AS BIGINT) AS line, text FROM l WHERE regexp_matches(lower(text), 'todo.*device') ORDER BY ord, id, line LIMIT 100""")
 def sv10_grep(spark, d):
-    return L.grep(nodes(spark, d, ["id", "ord", "kind", "content"]), "todo.*device", 100)
+    return L.grep(nodes(spark, d, ["id", "ord", "kind", "content"], ["file"]), "todo.*device", 100)
 
 
 @_register(f"""WITH {GRAPH_SQL} SELECT f.id, array_to_string(list_slice(string_split(f.content, chr(10)), 1, 30), chr(10)) AS text FROM nodes f WHERE f.kind = 'file' AND f.content IS NOT NULL""")
 def sv11_source_window(spark, d):
-    return L.source_window(nodes(spark, d, ["id", "ord", "kind", "content"]).where("kind = 'file'"), 5, 10, 20)
+    return L.source_window(nodes(spark, d, ["id", "ord", "kind", "content"], ["file"]), 5, 10, 20)
 
 
 @_register(f"""WITH {GRAPH_SQL} SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN regexp_matches(lower(file_path), '(^|/)(src|lib|app|cmd|pkg|internal)(/|$)') THEN 0 ELSE 1 END, file_path, start_line NULLS FIRST, kind, id) AS INTEGER) AS rank

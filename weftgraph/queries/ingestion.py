@@ -28,7 +28,7 @@ def _register(sql: str | None):
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, language, text`` of the stored files."""
-    f = nodes(spark, d, ["id", "ord", "repo", "kind", "file_path", "content"]).where("kind = 'file'")
+    f = nodes(spark, d, ["id", "ord", "repo", "kind", "file_path", "content"], ["file"])
     return f.select("repo", F.col("file_path").alias("path"), C.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
 
 
@@ -40,14 +40,14 @@ _LINES = f"{_FILES}, lines AS (SELECT repo, file_path, ext, {_TRIM} AS s FROM (S
 
 @_register(f"WITH {GRAPH_SQL} SELECT file_path AS path FROM nodes WHERE kind = 'file' AND NOT (list_contains(string_split(file_path, '/'), 'tests') OR regexp_matches(file_path, '^.*[.]min[.]js$') OR starts_with(file_path, 'quarry-core/shared/'))")
 def s2_exclusions(spark, d):
-    f = nodes(spark, d, ["id", "ord", "kind", "file_path"]).where("kind = 'file'")
+    f = nodes(spark, d, ["id", "ord", "kind", "file_path"], ["file"])
     return f.where(~C.exclusion(F.col("file_path"), ["tests", "*.min.js", "quarry-core/shared"])).select(F.col("file_path").alias("path"))
 
 
 @_register(f"""WITH {GRAPH_SQL}, p AS (SELECT DISTINCT file_path FROM nodes WHERE kind = 'file'), a AS (SELECT string_split(file_path, '/') AS l FROM p), k AS (SELECT l, unnest(range(1, len(l))) AS i FROM a),
 d AS (SELECT DISTINCT array_to_string(list_slice(l, 1, i), '/') AS file_path FROM k) SELECT 'directory' AS kind, file_path FROM d UNION ALL SELECT 'file', file_path FROM p""")
 def s4_structure(spark, d):
-    f = nodes(spark, d, ["id", "ord", "kind", "file_path"]).where("kind = 'file'").select(F.col("file_path").alias("path")).distinct()
+    f = nodes(spark, d, ["id", "ord", "kind", "file_path"], ["file"]).select(F.col("file_path").alias("path")).distinct()
     return C.structure(f).select("kind", "file_path")
 
 
@@ -135,7 +135,7 @@ def d7_signals(spark, d):
 
 @_register(None)
 def d9_attached_signals(spark, d):
-    fns = nodes(spark, d, ["id", "ord", "repo", "kind", "file_path", "start_line", "end_line"]).where("kind in ('function', 'method')")
+    fns = nodes(spark, d, ["id", "ord", "repo", "kind", "file_path", "start_line", "end_line"], ["function", "method"])
     return X.attach(_signals(spark, d), fns).select("path", "line", "type", "sink", "node_id")
 
 
@@ -155,13 +155,13 @@ _RULES = " UNION ALL ".join(f"SELECT id, line, '{n}' AS pattern, '{s}' AS severi
 @_register(rf"""WITH {GRAPH_SQL}, f AS (SELECT id, string_split(content, chr(10)) AS l FROM nodes WHERE kind = 'file' AND content IS NOT NULL AND NOT regexp_matches(file_path, '\.test\.|\.spec\.|_test\.|__tests__|(^|/)Test[^/]*\.java$|Test\.php$|(^|/)((?i)test_[^/]*\.py)$|((?i)_test\.py)$|((?i)_spec\.rb)$')),
 ln AS (SELECT id, unnest(l) AS text, CAST(generate_subscripts(l, 1) AS BIGINT) AS line FROM f) {_RULES}""")
 def d16_secret_patterns(spark, d):
-    f = nodes(spark, d, ["id", "ord", "kind", "file_path", "content"]).where("kind = 'file'")
+    f = nodes(spark, d, ["id", "ord", "kind", "file_path", "content"], ["file"])
     return X.secrets(f).where("pattern <> 'named-secret'")
 
 
 @_register(None)
 def d16_secrets(spark, d):
-    return X.secrets(nodes(spark, d, ["id", "ord", "kind", "file_path", "content"]).where("kind = 'file'"))
+    return X.secrets(nodes(spark, d, ["id", "ord", "kind", "file_path", "content"], ["file"]))
 
 
 # ---------------------------------------------------------------- streams over events

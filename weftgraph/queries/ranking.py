@@ -235,4 +235,4 @@ def g17_untested_callers(spark, d):
 
 @_register(f"""WITH {GRAPH_SQL} SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{c[0]}'" for p, c in I.CASES)} ELSE '{I.DEFAULT_CASES[0]}' END AS first_case FROM nodes WHERE kind = 'function'""")
 def g18_suggested_cases(spark, d):
-    return nodes(spark, d, ["id", "ord", "kind", "name"]).where("kind = 'function'").select("id", I.suggested_cases(F.col("name"))[0].alias("first_case"))
+    return nodes(spark, d, ["id", "ord", "kind", "name"], ["function"]).select("id", I.suggested_cases(F.col("name"))[0].alias("first_case"))

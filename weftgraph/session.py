@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -41,11 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DEFAULT:
-        _LOCAL_DEFAULT[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+        folder = tempfile.mkdtemp(prefix="weftgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DEFAULT[app] = "file://" + folder
     return _LOCAL_DEFAULT[app]
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,6 +73,7 @@ class Stash:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/weft-{name}-{os.getpid()}-{uuid.uuid4().hex[:10]}"
         self._slots: dict[str, str] = {}
+        _WRITTEN.append(self.base)
         self._n = 0
 
     def put(self, df: DataFrame, slot: str) -> DataFrame:
@@ -83,6 +88,16 @@ class Stash:
     def drop(self, slot: str) -> None:
         old = self._slots.pop(slot, None)
         if old:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(old)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, old)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the intermediate tables this process has written. Results that still read them must have been
+    consumed or written before."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
