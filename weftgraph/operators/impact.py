@@ -134,6 +134,7 @@ def suggested_cases(name: Column) -> Column:
 
 # -- context documents: a handful of seeds, formatted on the driver
 
+#: Token budgets of the blocks by intent, and the words that tell an intent.
 BUDGETS = {
     "code": {"summary": 300, "logic": 400, "relation": 300, "focus": 5000}, "callers": {"summary": 500, "logic": 300, "relation": 2500, "focus": 700},
     "architecture": {"summary": 1200, "logic": 800, "relation": 800, "focus": 1200}, "auto": {"summary": 800, "logic": 600, "relation": 500, "focus": 1500},

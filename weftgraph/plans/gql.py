@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from weftgraph.graph import first_named, meta
 from weftgraph.operators.reach import reach, shortest_path, steps_of
 
+#: The words of the language.
 KEYWORDS = {
     "FIND", "TRAVERSE", "PATH", "COUNT", "WHERE", "AND", "NOT", "FROM", "TO", "DEPTH", "OUTGOING", "INCOMING", "BOTH", "LIMIT", "OFFSET", "GROUP", "BY",
     "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "HAS_MEMBER", "CONTAINS_EDGE",

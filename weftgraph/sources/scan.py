@@ -18,7 +18,7 @@ from weftgraph.graph import SUFFIX_LANGUAGE
 
 #: Directories never entered, and the largest file read.
 IGNORED_DIRS = [
-    "node_modules", ".git", ".svn", ".hg", "dist", "dist-tests", "build", "out", "__pycache__", ".tox", ".pytest_cache", ".mypy_cache", "vendor", "target", ".code-intel", "coverage", ".next", ".turbo", ".cache", "tmp", "temp",
+    "node_modules", ".git", ".svn", ".hg", "dist", "dist-tests", "build", "out", "__pycache__", ".tox", ".pytest_cache", ".mypy_cache", "vendor", "target", ".weftgraph", "coverage", ".next", ".turbo", ".cache", "tmp", "temp",
     ".parcel-cache", ".venv", "venv", ".env", "env", "__snapshots__", ".nyc_output", "storybook-static",
 ]
 MAX_BYTES = 512 * 1024
