@@ -68,7 +68,7 @@ def test_path(graph):
     assert path("createUser", "createUser") == [] and path("createUser", "IUserRepository") == [] and path("x", "y") == []
 
 
-@pytest.mark.parametrize("text", ["", "FIND", "FIND function WHERE", "FIND function WHERE name", "FIND function WHERE name = 3", "FIND function LIMIT x", "TRAVERSE CONTAINS FROM a", "PATH FROM a", "COUNT function GROUP kind", "FIND function extra", 'FIND function WHERE name = "open', "FIND ?", "FIND a WHERE b IN [c"])
+@pytest.mark.parametrize("text", ["", "FIND", "FIND function WHERE", "FIND function WHERE name", "FIND function WHERE name = 3", "FIND function LIMIT x", "TRAVERSE CONTAINS FROM a", "PATH FROM a", "COUNT function GROUP kind", "FIND function extra", 'FIND function WHERE name = "open', "FIND ?", "FIND a WHERE b IN [c", "PATH FROM a.ts TO b", "FIND café"])
 def test_errors_are_values(text):
     e = gql.parse(text)
     assert isinstance(e, gql.GqlError) and 0 <= e.pos <= len(text)

@@ -25,9 +25,10 @@ from weftgraph.operators.reach import reach, shortest_path, steps_of
 #: The words of the language.
 KEYWORDS = {
     "FIND", "TRAVERSE", "PATH", "COUNT", "WHERE", "AND", "NOT", "FROM", "TO", "DEPTH", "OUTGOING", "INCOMING", "BOTH", "LIMIT", "OFFSET", "GROUP", "BY",
-    "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "HAS_MEMBER", "CONTAINS_EDGE",
+    "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "HAS_MEMBER", "ACCESSES", "OVERRIDES", "BELONGS_TO", "STEP_OF", "HANDLES", "CONTAINS_EDGE",
 }
 OPERATORS = {"CONTAINS", "STARTS_WITH", "IN"}
+DIGITS, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
 DEFAULT_LIMIT, DEFAULT_DEPTH = 1000, 5
 
 
@@ -106,9 +107,9 @@ def tokenize(text: str) -> list[Token] | GqlError:
                 return GqlError("unterminated string", start)
             i += 1
             out.append(Token("STRING", "".join(buf), start))
-        elif c.isdigit():
+        elif c in DIGITS:
             start = i
-            while i < n and text[i].isdigit():
+            while i < n and text[i] in DIGITS:
                 i += 1
             out.append(Token("NUMBER", text[start:i], start))
         elif c in "[]*=":
@@ -117,9 +118,9 @@ def tokenize(text: str) -> list[Token] | GqlError:
         elif text.startswith("!=", i):
             out.append(Token("OPERATOR", "!=", i))
             i += 2
-        elif c.isalpha() or c == "_":
+        elif c in LETTERS:
             start = i
-            while i < n and (text[i].isalnum() or text[i] in "_-."):
+            while i < n and (text[i] in LETTERS or text[i] in DIGITS):
                 i += 1
             word = text[start:i]
             up = word.upper()

@@ -43,7 +43,7 @@ QUERIES = {
     "q10_count_by_exported": _gql("COUNT * GROUP BY exported", "groups"),
     "q11_traverse_in": _gql(f"TRAVERSE CALLS FROM {HUB} DEPTH 2 INCOMING", "nodes", ["id", "kind", "name", "depth"]),
     "q11_traverse_edges": _gql(f"TRAVERSE CALLS FROM {HUB} DEPTH 3 BOTH", "edges"),
-    "q11_traverse_out": _gql("TRAVERSE IMPORTS FROM all.ts", "nodes", ["id", "kind", "name", "depth"]),
+    "q11_traverse_out": _gql("TRAVERSE IMPORTS FROM 'all.ts'", "nodes", ["id", "kind", "name", "depth"]),
 }
 
 _SEL = "SELECT id, kind, name, file_path, exported FROM nodes"
