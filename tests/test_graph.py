@@ -49,6 +49,15 @@ def test_reach_matches_breadth_first_search(spark, seed):
     assert sizes == {s: sum(1 for a, b in want if a == s) - 1 for s in seeds}
 
 
+def test_sketched_sizes_are_close(spark):
+    steps = random_steps(9, 400, 900)
+    df = spark.createDataFrame(steps, "src string, dst string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(60)] + [("alone",)], "id string")
+    exact = {r.id: r.n for r in R.closure_sizes(seeds, df, 4).collect()}
+    near = {r.id: r.n for r in R.closure_sizes_sketched(seeds, df, 4).collect()}
+    assert set(near) == set(exact) and all(abs(near[i] - exact[i]) <= 1 + 0.06 * exact[i] for i in exact)
+
+
 def test_reach_without_seeds_or_steps(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert R.reach(spark.createDataFrame([("a",)], "id string"), none, None).collect()[0].id == "a"

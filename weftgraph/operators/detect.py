@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators.lookup import degree, zero
-from weftgraph.operators.reach import closure_sizes, reach, risk, steps_of
+from weftgraph.operators.reach import closure_sizes, closure_sizes_sketched, reach, risk, steps_of
 
 #: Deprecated interfaces known by name, and what to say about them.
 DEPRECATED_APIS = {
@@ -100,9 +100,10 @@ def orphan_paths(nodes: DataFrame, edges: DataFrame, scope: str = ".", limit: in
     return (hit if limit is None else hit.orderBy("ord", "file_path").limit(limit)).select("file_path")
 
 
-def hotspots(nodes: DataFrame, edges: DataFrame, scope: str = ".", hops: int = 5, limit: int = 5) -> DataFrame:
-    """``id, blast_radius``: nodes with the most transitive callers and importers."""
-    sizes = closure_sizes(nodes.where(in_scope(scope)).select("id"), steps_of(edges, ["calls", "imports"], "in"), hops)
+def hotspots(nodes: DataFrame, edges: DataFrame, scope: str = ".", hops: int = 5, limit: int = 5, sketched: bool = False) -> DataFrame:
+    """``id, blast_radius``: nodes with the most transitive callers and importers. The exact form holds every pair of
+    node and caller; ``sketched`` estimates the sizes in one pass over the edges per hop."""
+    sizes = (closure_sizes_sketched if sketched else closure_sizes)(nodes.where(in_scope(scope)).select("id"), steps_of(edges, ["calls", "imports"], "in"), hops)
     return sizes.select("id", F.col("n").alias("blast_radius")).orderBy(F.desc("blast_radius"), "id").limit(limit)
 
 

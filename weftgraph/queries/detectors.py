@@ -118,6 +118,12 @@ def r3_orphan_paths(spark, d):
     return D.orphan_paths(nodes(spark, d, _SLIM), edges(spark, d))
 
 
+@_register(None)
+def r4_hotspots_sketched(spark, d):
+    """The estimated form, which also holds on graphs whose exact pairs do not fit."""
+    return D.hotspots(nodes(spark, d, _SLIM), edges(spark, d, _CALLS_IMPORTS), sketched=True)
+
+
 def _all_radius(hops: int) -> str:
     return f"""er AS (SELECT DISTINCT target AS src, source AS dst FROM edges WHERE kind IN ('calls', 'imports')),
 cl AS (SELECT id AS origin, id, 0 AS depth FROM seeds UNION SELECT c.origin, e.dst, c.depth + 1 FROM cl c JOIN er e ON e.src = c.id WHERE c.depth < {hops}),
