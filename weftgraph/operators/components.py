@@ -82,22 +82,23 @@ def cycle_count(components: DataFrame) -> DataFrame:
 
 def layers(steps: DataFrame) -> DataFrame:
     """``id, layer``: topological layer by peeling nodes without open predecessors; nodes on or behind a cycle
-    have a null layer."""
+    have a null layer. Several layers are peeled between two writes."""
     stash = Stash(steps.sparkSession, "layers")
-    open_ = stash.put(steps.select("src", "dst").distinct(), "open")
-    ids = stash.put(open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct(), "ids-0")
-    done, k, n = None, 0, ids.count()
-    while n:
-        free = stash.put(ids.join(open_.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(k).alias("layer")), f"layer-{k}")
-        taken = free.count()
-        if not taken:
-            break
-        done = free if done is None else done.unionByName(free)
-        open_ = stash.put(open_.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "open")
-        ids = stash.put(ids.join(free, "id", "left_anti"), f"ids-{k + 1}")
-        n, k = n - taken, k + 1
-    rest = ids.select("id", F.lit(None).cast("int").alias("layer"))
-    return rest if done is None else done.unionByName(rest)
+    steps = stash.put(steps.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "steps")
+    state = steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct().select("id", F.lit(None).cast("int").alias("layer"))
+    state, k, open_ = stash.put(state, "state"), 0, -1
+    while True:
+        for _ in range(_BATCH):
+            waiting = state.where(F.col("layer").isNull()).select(F.col("id").alias("src"))
+            blocked = steps.join(waiting, "src", "left_semi").select(F.col("dst").alias("__x")).distinct()
+            free = F.col("layer").isNull() & F.col("__x").isNull()
+            state = state.join(blocked, F.col("id") == F.col("__x"), "left").select("id", F.when(free, F.lit(k)).otherwise(F.col("layer")).alias("layer"))
+            k += 1
+        seen = Observation()
+        state = stash.put(state.observe(seen, F.coalesce(F.sum(F.col("layer").isNull().cast("long")), F.lit(0)).alias("n")), "state")
+        if seen.get["n"] in (0, open_):
+            return state
+        open_ = seen.get["n"]
 
 
 # -- small graphs of the driver: phases and class linearisation
