@@ -109,7 +109,7 @@ def nearest(
     fit = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(fit_rows).select("q").toPandas()
     if len(fit) < 2:
         fit = base.limit(fit_rows).select("q").toPandas()
-    names = base.select("vid", "id")
+    names = stash.put(base.select("vid", "id"), "names")
     if n < 2 or len(fit) < 1:
         return spark.createDataFrame([], "vid long, rank int, other long, similarity float"), names
 
@@ -192,6 +192,7 @@ def nearest(
         if last is not None:
             yield packed(last[0], last[2], last[3])
 
+    stash.drop("base")  # from here on the packed vectors are those of the keyed table
     # Few rows share one partition, so that a small input is searched whole; many rows get partitions of at most 60,000.
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)), n // 60000, 1)
     found = None
