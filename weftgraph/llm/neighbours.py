@@ -161,18 +161,27 @@ def nearest(
                 yield pd.concat(parts, ignore_index=True)
 
         def best(sim: np.ndarray, vids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The best k of each row; ``sim`` is used up. A few passes for the maximum beat a partition."""
             take = min(k, sim.shape[1])
-            at = np.argpartition(sim, sim.shape[1] - take, axis=1)[:, -take:]
-            return np.take_along_axis(sim, at, 1), vids[at]
+            if take > 16:
+                at = np.argpartition(sim, sim.shape[1] - take, axis=1)[:, -take:]
+                return np.take_along_axis(sim, at, 1), vids[at]
+            rows = np.arange(len(sim))
+            at = np.empty((len(sim), take), np.int64)
+            top = np.empty((len(sim), take), np.float32)
+            for i in range(take):
+                at[:, i] = sim.argmax(axis=1)
+                top[:, i] = sim[rows, at[:, i]]
+                sim[rows, at[:, i]] = -4.0
+            return top, vids[at]
 
         def packed(vid: np.ndarray, sims: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
             s, v = np.concatenate(sims, axis=1), np.concatenate(ids, axis=1)
             if s.shape[1] > k:
                 at = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
                 s, v = np.take_along_axis(s, at, 1), np.take_along_axis(v, at, 1)
-            real = s > -2
-            blobs = [v[i][r].astype("<i8").tobytes() + s[i][r].astype("<f4").tobytes() for i, r in enumerate(real)]
-            return pd.DataFrame({"vid": vid, "near": blobs})
+            flat = np.concatenate([np.ascontiguousarray(v, "<i8").view(np.uint8), np.ascontiguousarray(s, "<f4").view(np.uint8)], axis=1)
+            return pd.DataFrame({"vid": vid, "near": [x.tobytes() for x in flat]})
 
         last = None
         for part in blocks():
@@ -183,10 +192,10 @@ def nearest(
             now = (vid, m, [s], [v])
             if last is not None:
                 cross = last[1] @ m.T
+                s, v = best(np.ascontiguousarray(cross.T), last[0])
+                now[2].append(s), now[3].append(v)
                 s, v = best(cross, vid)
                 last[2].append(s), last[3].append(v)
-                s, v = best(cross.T, last[0])
-                now[2].append(s), now[3].append(v)
                 yield packed(last[0], last[2], last[3])
             last = now
         if last is not None:
@@ -205,14 +214,19 @@ def nearest(
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            row, other, sim = [], [], []
-            for i, lists in enumerate(pdf["all"]):
-                for b in lists:
-                    m = len(b) // 12
-                    row.append(np.full(m, i)), other.append(np.frombuffer(b, "<i8", m)), sim.append(np.frombuffer(b, "<f4", m, 8 * m))
-            if not row:
+            blobs = [b for lists in pdf["all"] for b in lists]
+            r = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["all"]])
+            parts = []
+            for size in {len(b) for b in blobs} - {0}:  # one size but for the smallest inputs
+                here = [i for i, b in enumerate(blobs) if len(b) == size]
+                m = size // 12
+                raw = np.frombuffer(b"".join([blobs[i] for i in here]), np.uint8).reshape(-1, size)
+                parts.append((np.repeat(r[here], m), raw[:, : 8 * m].copy().view("<i8").ravel(), raw[:, 8 * m :].copy().view("<f4").ravel()))
+            if not parts:
                 continue
-            r, o, s = np.concatenate(row), np.concatenate(other), np.concatenate(sim)
+            r, o, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            real = s > -2  # fewer neighbours than k leave fillers
+            r, o, s = r[real], o[real], s[real]
             at = np.lexsort((-s, o, r))
             r, o, s = r[at], o[at], s[at]
             first = np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])] if len(r) else np.zeros(0, bool)
