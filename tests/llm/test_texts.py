@@ -143,6 +143,18 @@ def test_file_reasons(path, text, want):
     assert A.judge(path, text)[0] == want
 
 
+@pytest.mark.parametrize(
+    "path,text,want",
+    [
+        ("r/a.ts", HAND + "// @generated by x from y\n\n", "generated"), ("r/a.java", HAND + "// Do not modify by hand: output of x over y.def\r\n", "generated"), ("r/a.rb", "x = 1\n# Code generated by x-gen from y. DO NOT EDIT.", "generated"), ("r/a.rs", HAND + "/*\n   Autogenerated by the x compiler.\n*/", "generated"),
+        ("r/a.go", "// Package a.\n\n// Code generated by x. DO NOT EDIT.\n\npackage a\n", "generated"), ("r/a.c", "// terms\n" * 60 + "// @generated by x\n" + HAND, "generated"), ("r/a.js", HAND + "/* @license MIT */\n" + HAND, "vendored"), ("r/a.ts", HAND + "// This file was automatically\n// generated by x.\n", "generated"),
+        ("r/a.ts", "const A = `\n// Code generated by x. DO NOT EDIT.\n`;\n" + HAND, None), ("r/a.py", 'A = """\n# @generated by x\n"""\nb = 1\n', None), ("r/a.rb", "A = <<~TXT\n  # @generated by x\nTXT\nb = 1\n", None), ("r/a.go", "package a\n\nvar b = `\n// @generated by x\n`\n", None), ("r/a.ts", HAND + "// ids are generated by the store, do not edit\n", None), ("r/a.ts", HAND + "const a = 1; // @generated by x\n", None),
+    ],
+)
+def test_notices_anywhere_in_comments(path, text, want):
+    assert A.judge(path, text)[0] == want
+
+
 FILE = "id string, ord long, t string, kind string, repo string, file_path string, content string"
 
 

@@ -2,9 +2,11 @@
 
 A file is judged where its text lies, from layout statistics against thresholds per language: longest and mean
 line, share of white space and of letters and digits, density of numeric literals, share of long encoded runs,
-and the share of lines that repeat one shape. Two more signs are read from the file itself: a tool's notice in
-the comment that opens the file (the same words in a string or further down are somebody's own text), and a
-third-party notice there or a dependency folder in the path. Only this verdict and a sketch are shuffled.
+and the share of lines that repeat one shape. Two more signs are read from the file itself: a tool's notice and a
+third-party notice or a dependency folder in the path. Notices are read in the comment that opens the file and in
+every other whole-line comment of the whole text; there a line must begin with words that speak of the file, since
+other remarks on generating are somebody's own text, and so are the same words in a string. Only this verdict and a
+sketch are shuffled.
 
 Copies that lost their notice are found by sketch: each body gives its ``SKETCH`` smallest hashes of five
 consecutive code lines. A file that shares at least half of them with third-party files, or with files of at
@@ -52,6 +54,24 @@ LAYOUTS = {
 
 _TOOL = re.compile(r"\b(?:code|file|source)?\s*(?:was |is )?(?:auto[- ]?)?generated (?:by|from|with|using|code|file)\b|@generated\b|\bautogenerated\b|\bauto-generated\b|<auto-generated|\bdo not (?:edit|modify)\b|\bmachine[- ](?:made|generated)\b|\bregenerate (?:from|with|using)\b|\bproduced by the .{1,40} (?:compiler|generator)\b", re.I)
 _OTHERS = re.compile(r"\bcopyright (?:\(c\) )?(?:\d{4}[ ,-]*)*the [\w.-]+ (?:authors|contributors)\b|\bsee the upstream (?:repository|project)\b|\bvendored from\b|\bcopied (?:verbatim )?from https?://|@preserve\b|@license\b", re.I)
+#: Outside the opening comment: lines that begin by saying that the file, not something in it, was made or copied.
+_TOOL_LINE = re.compile(r"^(?:@generated\b|<auto-?generated|auto[- ]?generated (?:by|from|with|using|code|file)\b|(?:(?:this|the) )?(?:code|file|source(?: file| code)?)(?: (?:was|is|has been))?(?: automatically| machine| auto)?[- ]?generated (?:by|from|with|using)\b|machine[- ](?:made|generated) (?:by|from|with|using|code|file)\b|produced by the .{1,40} (?:compiler|generator)\b|do not (?:edit|modify)\b.{0,80}\b(?:output of|(?:auto[- ]?)?generated (?:by|from|with|using|code|file)|regenerate)\b|generated (?:by|from|with|using)\b.{1,80}\bdo not (?:edit|modify)\b)", re.I)
+_OTHERS_LINE = re.compile(r"^(?:copyright (?:\(c\) )?(?:\d{4}[ ,-]*)*the [\w.-]+ (?:authors|contributors)\b|(?:this file (?:was|is) )?(?:vendored from\b|copied verbatim from https?://)|@preserve\b|@license\b)", re.I)
+_MAYBE = re.compile(r"generated|machine[- ]made|produced by the|do not (?:edit|modify)|copyright|vendored from|copied verbatim|@preserve|@license", re.I)
+_MARK = " \t\r﻿/*#!;-=\"'"
+#: Comments and string literals of a language family, in the order of the text; what is left is code.
+_STRING = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'"
+_C_LIKE = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|"
+_PARTS = {
+    "js": re.compile(_C_LIKE + _STRING + r"|`(?:\\.|[^`\\])*+`|(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/", re.S),
+    "go": re.compile(_C_LIKE + r"`[^`]*+`|" + _STRING, re.S),
+    "rs": re.compile(_C_LIKE + r"\bb?r(?P<h>#*)\".*?\"(?P=h)|\"(?:\\.|[^\"\\])*+\"|'(?:\\.[^'\n]*|[^'\\\n])'", re.S),
+    "c": re.compile(_C_LIKE + r'"""(?:\\.|[^\\])*?"""|' + _STRING, re.S),
+    "py": re.compile(r"(?P<comment>#[^\n]*)|\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|" + _STRING, re.S),
+    "rb": re.compile(r"(?P<comment>#[^\n]*|^=begin\b.*?(?:^=end\b|\Z))|<<[~-]?(?P<q>['\"]?)(?P<tag>[A-Z]\w*)(?P=q).*?^\s*(?P=tag)$|" + _STRING, re.S | re.M),
+}
+_FAMILY = {"js": "js", "mjs": "js", "ts": "js", "mts": "js", "go": "go", "rs": "rs", "py": "py", "rb": "rb"}
+
 _RELEASE = re.compile(r"^[\s/*#!-]*[@\w.-]+ v?\d+\.\d+\.\d+(?:[-+][\w.]+)?\s*$")
 _FOLDER = re.compile(r"/(?:node_modules|bower_components|jspm_packages|site-packages|third[_-]?party|3rd[_-]?party|vendor|vendored|external|externals|deps|Godeps|Pods|Carthage)/", re.I)
 _MIN_NAME = re.compile(r"[.-](?:min|bundle|packed|prod)\.m?js$|\.map$", re.I)
@@ -81,6 +101,34 @@ def opening_comment(lines: list[str]) -> list[str]:
     return out
 
 
+def comment_lines(path: str, text: str) -> list[str]:
+    """The lines of all comments that stand on lines of their own, without their marks; one empty line between two
+    comments that do not follow each other. Comments in string literals are none."""
+    out: list[str] = []
+    at = -1
+    for m in _PARTS[_FAMILY.get(suffix(path), "c")].finditer(text):
+        s, e = m.span()
+        if m["comment"] is None or text[text.rfind("\n", 0, s) + 1 : s].strip(" \t\r﻿"):
+            continue
+        if text[at:s].strip() or at < 0:
+            out.append("")
+        out += [x.strip(_MARK) for x in m["comment"].split("\n")]
+        at = e
+    return out
+
+
+def later_notice(path: str, text: str) -> str | None:
+    """"vendored" or "generated" by a comment anywhere in the text."""
+    if not _MAYBE.search(text):
+        return None
+    lines = comment_lines(path, text)
+    # A sentence may run on in the next line.
+    pairs = [f"{a} {b}".rstrip() for a, b in zip(lines, [*lines[1:], ""], strict=False) if a]
+    if any(map(_OTHERS_LINE.match, pairs)):
+        return "vendored"
+    return "generated" if any(map(_TOOL_LINE.match, pairs)) else None
+
+
 def layout_reason(path: str, text: str) -> str | None:
     """Why the layout alone rules out a human hand, or None."""
     t = LAYOUTS.get(suffix(path), Layout())
@@ -117,13 +165,16 @@ def judge(path: str, text: str | None) -> tuple[str | None, bool]:
     """(reason or None, whether the file shows third-party evidence)."""
     if not isinstance(text, str) or not text.strip() or suffix(path) in CONFIG:
         return None, False
-    head = opening_comment(text.split("\n", 40)[:40])
+    head = opening_comment(text.split("\n"))
     words = " ".join(head)
     others = bool(_FOLDER.search("/" + path) or _OTHERS.search(words) or (head and _RELEASE.match(head[0])))
     if others:
         return "vendored", True
     if head and _TOOL.search(words):
         return "generated", False
+    later = later_notice(path, text)
+    if later:
+        return later, later == "vendored"
     reason = layout_reason(path, text)
     if reason is None and _MIN_NAME.search(path) and len(text) / (text.count("\n") + 1) > 80:
         reason = "minified"
