@@ -80,3 +80,25 @@ def test_a_hot_group_of_copies(spark):
     assert len(counts) == len(x) and set(counts.values()) == {5}
     copies = near.where("vid < 120").agg(F.min("similarity")).first()[0]
     assert copies > 0.999
+
+
+def near_copies(seed, dim, size, noise):
+    """A third of the rows in one group of near copies."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=dim) + noise * rng.normal(size=(size, dim)), groups(seed + 1, size // 4, 8, dim, 0.35)]).astype(np.float32)
+    return x[rng.permutation(len(x))]
+
+
+def recall(near, x, k=5):
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.vid, set()).add(r.other)
+    want, _ = exact(x, k)
+    return sum(len(got[i] & set(want[i])) for i in range(len(x))) / want.size
+
+
+def test_a_dense_group_is_searched_whole(spark):
+    x = near_copies(5, 64, 800, 0.4)
+    near, _ = N.nearest(frame(spark, x), 64, k=5, time=None, block=32, curves=6, side=300)
+    assert recall(near, x) >= 0.95
+    assert near.groupBy("vid", "other").count().where("count > 1").count() == 0

@@ -5,10 +5,16 @@ directions is fitted on a bounded sample (``fit_rows``); each curve rotates and
 coordinate into 2^bits cells and takes the Hilbert index as a sort key. Spark range-partitions by (key, row
 number), so equal keys of a hot group still split over tasks. Within a partition each block of ``block`` rows is
 compared with itself and the next block in one matrix product; every row keeps its best k. The lists of all
-curves merge per row. Every row is on every curve; only the projection is fitted on a sample.
+curves merge per row. Every row is on every curve; only the projection is fitted on a sample. Equal keys stand in
+another order on every curve.
 
-Cost per curve: one shuffle of the packed vectors and n * 2 * block * dim multiplications; independent of any
-group size. Each curve's result is written to the shared folder and its shuffle files are released.
+Near copies have no order that a curve could find, so dense groups are searched whole. A row that has a quarter of
+its block within ``DENSE`` is in one; tasks send one direction per group, those within ``DENSE`` of each other are
+one group, all rows within ``DENSE`` of a direction join the nearest, and every row of a group is compared with every
+other in pairs of parts of ``side`` rows.
+
+Cost per curve: one shuffle of the packed vectors and n * 2 * block * dim multiplications. A dense group of m rows
+costs m * m * dim multiplications more and a shuffle of m * m / side vectors. Each curve's result is written to the shared folder and its shuffle files are released.
 
 Defined cases. A row is used if its vector is the current one of its id, has the common length and only finite
 values, not all zero; null, short, zero and NaN vectors have no neighbours and are nobody's. Equal vectors
@@ -28,6 +34,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import Stash
 
+#: Cosine from which rows count as near copies of each other.
+DENSE = 0.7
+
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert index of each row of unsigned ``cells`` (n x d), by the published transposition of the
@@ -66,6 +75,108 @@ def _unpack(blobs: pd.Series, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _best(sim: np.ndarray, vids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each row; ``sim`` is used up. A few passes for the maximum beat a partition."""
+    take = min(k, sim.shape[1])
+    if take > 16:
+        at = np.argpartition(sim, sim.shape[1] - take, axis=1)[:, -take:]
+        return np.take_along_axis(sim, at, 1), vids[at]
+    rows = np.arange(len(sim))
+    at = np.empty((len(sim), take), np.int64)
+    top = np.empty((len(sim), take), np.float32)
+    for i in range(take):
+        at[:, i] = sim.argmax(axis=1)
+        top[:, i] = sim[rows, at[:, i]]
+        sim[rows, at[:, i]] = -4.0
+    return top, vids[at]
+
+
+def _lists(vid: np.ndarray, sims: list[np.ndarray], ids: list[np.ndarray], k: int) -> pd.DataFrame:
+    s, v = np.concatenate(sims, axis=1), np.concatenate(ids, axis=1)
+    if s.shape[1] > k:
+        at = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
+        s, v = np.take_along_axis(s, at, 1), np.take_along_axis(v, at, 1)
+    flat = np.concatenate([np.ascontiguousarray(v, "<i8").view(np.uint8), np.ascontiguousarray(s, "<f4").view(np.uint8)], axis=1)
+    return pd.DataFrame({"vid": vid, "near": [x.tobytes() for x in flat]})
+
+
+def _directions(close: np.ndarray, m: np.ndarray, least: int, known: list[np.ndarray]) -> list[np.ndarray]:
+    """Mean directions of the groups of rows that have at least ``least`` others ``close``, but for known ones."""
+    counts = close.sum(axis=1)
+    open_ = counts >= least
+    out = []
+    while open_.any():
+        lead = int(np.where(open_, counts, -1).argmax())
+        v = m[close[lead]].mean(axis=0)
+        v /= np.linalg.norm(v)
+        open_ &= ~close[lead]
+        open_[lead] = False
+        if not known or (np.stack(known) @ v).max() < 0.95:
+            known.append(v)
+            out.append(v)
+    return out
+
+
+def _components(v: np.ndarray) -> np.ndarray:
+    """A number per direction, the same for those linked by steps of cosine ``DENSE``."""
+    group = np.full(len(v), -1)
+    for i in range(len(v)):
+        todo = [i] if group[i] < 0 else []
+        while todo:
+            j = todo.pop()
+            group[j] = i
+            more = np.flatnonzero((v @ v[j] >= DENSE) & (group < 0))
+            group[more] = i
+            todo += list(more)
+    return group
+
+
+def _dense_lists(keyed: DataFrame, leaders: np.ndarray, dim: int, k: int, side: int, stash: Stash) -> DataFrame:
+    """``vid, near``: the best k of every row of a dense group among all others of the group."""
+    group = _components(leaders)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sim = _unpack(pdf["q"], dim) @ leaders.T
+                at = sim.argmax(axis=1)
+                keep = sim[np.arange(len(sim)), at] >= DENSE
+                yield pdf.assign(grp=group[at])[keep]
+
+    members = stash.put(keyed.select("vid", "q").mapInPandas(assign, "vid long, q binary, grp long"), "members")
+    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / side).cast("int").alias("n"))
+    split = members.join(parts, "grp").withColumn("p", F.pmod(F.xxhash64("vid"), F.col("n")).cast("int"))
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    split = split.select("grp", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b"), "p", "vid", "q")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vid")
+        vid, m = pdf["vid"].to_numpy(), _unpack(pdf["q"], dim)
+        same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        left = np.ones(len(pdf), bool) if same else (pdf["p"] == pdf["a"]).to_numpy()
+        x, xv = m[left], vid[left]
+        y, yv = (x, xv) if same else (m[~left], vid[~left])
+        out, ys, yi = [], [], []
+        if not len(x) or not len(y):
+            return pd.DataFrame({"vid": vid[:0], "near": []})
+        for s in range(0, len(x), 1024):
+            sim = x[s : s + 1024] @ y.T
+            if same:
+                sim[np.arange(len(sim)), s + np.arange(len(sim))] = -3.0
+            else:
+                top, ids = _best(np.ascontiguousarray(sim.T), xv[s : s + 1024], k)
+                ys.append(top), yi.append(ids)
+            top, ids = _best(sim, yv, k)
+            out.append(_lists(xv[s : s + 1024], [top], [ids], k))
+        if ys:
+            out.append(_lists(yv, ys, yi, k))
+        return pd.concat(out, ignore_index=True)
+
+    done = stash.put(split.groupBy("grp", "a", "b").applyInPandas(compare, "vid long, near binary"), "dense")
+    stash.drop("members")
+    return done
+
+
 def packed_vectors(rows: DataFrame, dim: int, id_col: str, number: str, vector: str, time: str | None) -> DataFrame:
     """``vid, id, q``: the packed current vector of every id that has a usable one."""
     times = [F.col(time).alias("__t")] if time else [F.lit(0).alias("__t")]
@@ -97,7 +208,7 @@ def _release(spark) -> None:
 
 def nearest(
     rows: DataFrame, dim: int, k: int = 5, *, id_col: str = "id", number: str = "ord", vector: str = "embedding", time: str | None = "indexed_at",
-    curves: int = 10, block: int = 640, project: int = 24, axes: int = 12, bits: int = 5, fit_rows: int = 20000, seed: int = 7,
+    curves: int = 10, block: int = 640, project: int = 24, axes: int = 12, bits: int = 5, fit_rows: int = 20000, seed: int = 7, side: int = 8192,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (``vid, rank, other, similarity`` with rank from 1, ``vid, id``). ``number`` is unique per row."""
     spark = rows.sparkSession
@@ -160,58 +271,46 @@ def nearest(
             if have:
                 yield pd.concat(parts, ignore_index=True)
 
-        def best(sim: np.ndarray, vids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The best k of each row; ``sim`` is used up. A few passes for the maximum beat a partition."""
-            take = min(k, sim.shape[1])
-            if take > 16:
-                at = np.argpartition(sim, sim.shape[1] - take, axis=1)[:, -take:]
-                return np.take_along_axis(sim, at, 1), vids[at]
-            rows = np.arange(len(sim))
-            at = np.empty((len(sim), take), np.int64)
-            top = np.empty((len(sim), take), np.float32)
-            for i in range(take):
-                at[:, i] = sim.argmax(axis=1)
-                top[:, i] = sim[rows, at[:, i]]
-                sim[rows, at[:, i]] = -4.0
-            return top, vids[at]
-
-        def packed(vid: np.ndarray, sims: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
-            s, v = np.concatenate(sims, axis=1), np.concatenate(ids, axis=1)
-            if s.shape[1] > k:
-                at = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
-                s, v = np.take_along_axis(s, at, 1), np.take_along_axis(v, at, 1)
-            flat = np.concatenate([np.ascontiguousarray(v, "<i8").view(np.uint8), np.ascontiguousarray(s, "<f4").view(np.uint8)], axis=1)
-            return pd.DataFrame({"vid": vid, "near": [x.tobytes() for x in flat]})
-
-        last = None
+        last, known = None, []
         for part in blocks():
             vid, m = part["vid"].to_numpy(), _unpack(part["q"], dim)
             own = m @ m.T
             np.fill_diagonal(own, -3.0)
-            s, v = best(own, vid)
+            fresh = _directions(own >= DENSE, m, block // 4, known)
+            if fresh:
+                yield pd.DataFrame({"vid": pd.array([None] * len(fresh), "Int64"), "near": [x.astype("<f4").tobytes() for x in fresh]})
+            s, v = _best(own, vid, k)
             now = (vid, m, [s], [v])
             if last is not None:
                 cross = last[1] @ m.T
-                s, v = best(np.ascontiguousarray(cross.T), last[0])
+                s, v = _best(np.ascontiguousarray(cross.T), last[0], k)
                 now[2].append(s), now[3].append(v)
-                s, v = best(cross, vid)
+                s, v = _best(cross, vid, k)
                 last[2].append(s), last[3].append(v)
-                yield packed(last[0], last[2], last[3])
+                yield _lists(last[0], last[2], last[3], k)
             last = now
         if last is not None:
-            yield packed(last[0], last[2], last[3])
+            yield _lists(last[0], last[2], last[3], k)
 
     stash.drop("base")  # from here on the packed vectors are those of the keyed table
     # Few rows share one partition, so that a small input is searched whole; many rows get partitions of at most 60,000.
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)), n // 60000, 1)
     found = None
     for c in range(curves):
-        order = [F.col("key"), F.col("vid")]
-        line = keyed.select("vid", F.col(f"k{c}").alias("key"), "q").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        order = [F.col("key"), F.col("tie")]
+        line = keyed.select("vid", F.col(f"k{c}").alias("key"), F.xxhash64("vid", F.lit(c)).alias("tie"), "q").repartitionByRange(parts, *order).sortWithinPartitions(*order)
         step = stash.put(line.mapInPandas(windows, "vid long, near binary"), f"curve-{c}")
         found = step if found is None else found.unionByName(step)
         _release(spark)
 
+    # One direction per dense group and task of a curve.
+    leaders = [np.frombuffer(r.near, "<f4") for r in found.where(F.col("vid").isNull()).select("near").collect()]
+    found = found.where(F.col("vid").isNotNull())
+    if leaders:
+        found = found.unionByName(_dense_lists(keyed, np.stack(leaders), dim, k, side, stash))
+        _release(spark)
+    stash.drop("keyed")
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             blobs = [b for lists in pdf["all"] for b in lists]
