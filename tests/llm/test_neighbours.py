@@ -102,3 +102,17 @@ def test_a_dense_group_is_searched_whole(spark):
     near, _ = N.nearest(frame(spark, x), 64, k=5, time=None, block=32, curves=6, side=300)
     assert recall(near, x) >= 0.95
     assert near.groupBy("vid", "other").count().where("count > 1").count() == 0
+
+
+def test_lists_of_near_copies_are_exact(spark):
+    x = near_copies(7, 64, 800, 0.1)
+    near, _ = N.nearest(frame(spark, x), 64, k=5, time=None, block=32, curves=4, side=300)
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = v @ v.T
+    np.fill_diagonal(s, -9)
+    copies = np.flatnonzero((s > 0.95).sum(axis=1) > 100)
+    rows = near.where(F.col("vid").isin(copies.tolist())).collect()
+    assert len(copies) == 800 and len(rows) == 4000
+    assert max(abs(r.similarity - s[r.vid, r.other]) for r in rows) < 1e-5
+    want = {i: set(np.argsort(-s[i])[:5]) for i in copies}
+    assert sum(r.other in want[r.vid] for r in rows) >= 0.995 * len(rows)

@@ -1,6 +1,6 @@
 """The most similar vectors for every vector, by shifted space-filling curves.
 
-Vectors are normalised and packed to one signed byte per value. A projection to the leading principal
+Vectors are packed to two signed bytes per value, which moves a cosine by about 2e-6 (by 1e-5 if one value outweighs all others). A projection to the leading principal
 directions is fitted on a bounded sample (``fit_rows``); each curve rotates and shifts it at random, cuts every
 coordinate into 2^bits cells and takes the Hilbert index as a sort key. Spark range-partitions by (key, row
 number), so equal keys of a hot group still split over tasks. Within a partition each block of ``block`` rows is
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -67,11 +68,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _pack(vectors: np.ndarray) -> np.ndarray:
     peak = np.abs(vectors).max(axis=1, keepdims=True)
-    return np.rint(vectors / peak * 127).astype(np.int8)
+    return np.rint(vectors / peak * 32767).astype("<i2")
 
 
 def _unpack(blobs: pd.Series, dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(blobs), dtype=np.int8).reshape(-1, dim).astype(np.float32)
+    v = np.frombuffer(b"".join(blobs), dtype="<i2").reshape(-1, dim).astype(np.float32)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -177,6 +178,35 @@ def _dense_lists(keyed: DataFrame, leaders: np.ndarray, dim: int, k: int, side:
     return done
 
 
+def _gathered(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("vid").agg(F.collect_list("near").alias("all"))
+
+
+def _ranked(lists: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of the lists of each row: number of the row, neighbour, similarity, rank."""
+    blobs = [b for row in lists for b in row]
+    r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    parts = [(np.zeros(0, np.int64), np.zeros(0, "<i8"), np.zeros(0, "<f4"))]
+    for size in {len(b) for b in blobs} - {0}:  # one size but for the smallest inputs
+        here = [i for i, b in enumerate(blobs) if len(b) == size]
+        m = size // 12
+        raw = np.frombuffer(b"".join([blobs[i] for i in here]), np.uint8).reshape(-1, size)
+        parts.append((np.repeat(r[here], m), raw[:, : 8 * m].copy().view("<i8").ravel(), raw[:, 8 * m :].copy().view("<f4").ravel()))
+    r, o, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    real = s > -2  # fewer neighbours than k leave fillers
+    r, o, s = r[real], o[real], s[real]
+    at = np.lexsort((-s, o, r))
+    r, o, s = r[at], o[at], s[at]
+    first = np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])] if len(r) else np.zeros(0, bool)
+    r, o, s = r[first], o[first], s[first]
+    at = np.lexsort((o, -s, r))
+    r, o, s = r[at], o[at], s[at]
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)])) + 1
+    top = rank <= k
+    return r[top], o[top], s[top], rank[top].astype("int32")
+
+
 def packed_vectors(rows: DataFrame, dim: int, id_col: str, number: str, vector: str, time: str | None) -> DataFrame:
     """``vid, id, q``: the packed current vector of every id that has a usable one."""
     times = [F.col(time).alias("__t")] if time else [F.lit(0).alias("__t")]
@@ -293,52 +323,44 @@ def nearest(
             yield _lists(last[0], last[2], last[3], k)
 
     stash.drop("base")  # from here on the packed vectors are those of the keyed table
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            r, o, s, rank = _ranked(pdf["all"], k)
+            yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[r], "rank": rank, "other": o, "similarity": s})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            r, o, s, _ = _ranked(pdf["all"], k)
+            ends = np.searchsorted(r, np.arange(len(pdf) + 1))
+            o, s = o.astype("<i8"), s.astype("<f4")
+            yield pd.DataFrame({"vid": pdf["vid"], "near": [o[i:j].tobytes() + s[i:j].tobytes() for i, j in zip(ends, ends[1:])]})
+
     # Few rows share one partition, so that a small input is searched whole; many rows get partitions of at most 60,000.
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)), n // 60000, 1)
-    found = None
+    steps: dict[str, DataFrame] = {}
+    leaders: list[np.ndarray] = []
     for c in range(curves):
         order = [F.col("key"), F.col("tie")]
         line = keyed.select("vid", F.col(f"k{c}").alias("key"), F.xxhash64("vid", F.lit(c)).alias("tie"), "q").repartitionByRange(parts, *order).sortWithinPartitions(*order)
         step = stash.put(line.mapInPandas(windows, "vid long, near binary"), f"curve-{c}")
-        found = step if found is None else found.unionByName(step)
+        # One direction per dense group and task of a curve.
+        leaders += [np.frombuffer(r.near, "<f4") for r in step.where(F.col("vid").isNull()).select("near").collect()]
+        steps[f"curve-{c}"] = step.where(F.col("vid").isNotNull())
         _release(spark)
-
-    # One direction per dense group and task of a curve.
-    leaders = [np.frombuffer(r.near, "<f4") for r in found.where(F.col("vid").isNull()).select("near").collect()]
-    found = found.where(F.col("vid").isNotNull())
+        if len(steps) == 4 and c < curves - 1:  # one list per row instead of four
+            done = stash.put(_gathered(reduce(DataFrame.unionByName, steps.values())).mapInPandas(fold, "vid long, near binary"), f"fold-{c}")
+            for slot in steps:
+                stash.drop(slot)
+            steps = {f"fold-{c}": done}
+            _release(spark)
+
+    found = reduce(DataFrame.unionByName, steps.values())
     if leaders:
         found = found.unionByName(_dense_lists(keyed, np.stack(leaders), dim, k, side, stash))
         _release(spark)
     stash.drop("keyed")
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            blobs = [b for lists in pdf["all"] for b in lists]
-            r = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["all"]])
-            parts = []
-            for size in {len(b) for b in blobs} - {0}:  # one size but for the smallest inputs
-                here = [i for i, b in enumerate(blobs) if len(b) == size]
-                m = size // 12
-                raw = np.frombuffer(b"".join([blobs[i] for i in here]), np.uint8).reshape(-1, size)
-                parts.append((np.repeat(r[here], m), raw[:, : 8 * m].copy().view("<i8").ravel(), raw[:, 8 * m :].copy().view("<f4").ravel()))
-            if not parts:
-                continue
-            r, o, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-            real = s > -2  # fewer neighbours than k leave fillers
-            r, o, s = r[real], o[real], s[real]
-            at = np.lexsort((-s, o, r))
-            r, o, s = r[at], o[at], s[at]
-            first = np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])] if len(r) else np.zeros(0, bool)
-            r, o, s = r[first], o[first], s[first]
-            at = np.lexsort((o, -s, r))
-            r, o, s = r[at], o[at], s[at]
-            start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-            rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)])) + 1
-            top = rank <= k
-            yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[r[top]], "rank": rank[top].astype("int32"), "other": o[top], "similarity": s[top]})
-
-    lists = found.groupBy("vid").agg(F.collect_list("near").alias("all"))
-    return lists.mapInPandas(merge, "vid long, rank int, other long, similarity float"), names
+    return _gathered(found).mapInPandas(merge, "vid long, rank int, other long, similarity float"), names
 
 
 def similar_pairs(near: DataFrame, names: DataFrame, least: float) -> DataFrame:
