@@ -124,6 +124,15 @@ def test_habits_of_sources(spark):
     assert R.truncated(df.where("false")).collect() == []
 
 
+def test_copies_of_a_cut_text_are_no_habit(spark):
+    cut = "The index was rebuilt on every node of the cluster while the reader waited for the"
+    rows = [(i, cut, "adr") for i in range(200)] + [(300 + i, f"Report {i} of run 7.\nThe batch of {i} rows was written to the", None) for i in range(9)]
+    rows += [(400 + i, f"Part {chr(97 + i % 26)}{chr(97 + i // 26)} is done.\n- see the list", "adr") for i in range(60)] + [(500 + i, "nit: naming", "review") for i in range(9)]
+    rows += [(600 + i, f"Alpha {'b' * (i + 1)} held {'c' * (i + 1)} of the rows that were written to the new store before the", "wiki") for i in range(9)]
+    got = {r.doc_id for r in R.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("is_cut").collect()}
+    assert got == set(range(200)) | set(range(300, 309)) | set(range(600, 609))
+
+
 # -- files nobody wrote
 
 HAND = "import { load } from './load';\n\nexport function total(rows: Row[]): number {\n  let sum = 0;\n  for (const r of rows) {\n    if (r.valid) {\n      sum += r.amount * 2;\n    }\n  }\n  return sum;\n}\n\nexport const LIMIT = 3;\nfunction pad(text: string): string {\n  // keep the text short\n  return text.slice(0, LIMIT).padEnd(5);\n}\n"

@@ -10,7 +10,9 @@ rest, a broken multibyte sequence or escape, a sentence terminator. A text is th
   last line (digits and words replaced) is a habit of the source, such as a signature, a list item or a log
   trailer, or it is not and the text was cut.
 
-Counts of endings cover all documents; only shapes are shuffled, with partial counts per task.
+Counts of endings cover all documents; only shapes are shuffled, with partial counts per task. Texts that are equal
+but for their digits count once, however often they are held, so that copies of one cut text are no habit; only
+replies of one line of at most ``BRIEF`` pieces ("LGTM") count row by row.
 
 Defined cases. Null, empty and blank texts are complete. A null source is a source of its own. Repeated texts
 are judged alike. Length plays no part except that a path ending at a dot is unfinished.
@@ -18,6 +20,7 @@ are judged alike. Length plays no part except that a path ending at a dot is unf
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -43,6 +46,8 @@ _STRUCTURED = re.compile(r"^\s*(?:[\[{]|\$ |at \w|\w*Error: )")
 _BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z#0-9]{0,7}|\\)$")
 _TAIL = 400
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+BRIEF, _PIECES = 4, 12
+_DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 
 
@@ -68,16 +73,24 @@ def _line_open(line: str) -> bool:
 
 
 def shape(line: str, words: bool) -> str:
-    """The last line with digits as 0 and, on request, words as w or W; only of its last 12 pieces."""
+    """The last line with digits as 0 and, on request, words as w or W; a longer line than 12 pieces as its hash."""
     out = []
-    for t in _TOKEN.findall(line)[-12:]:
+    for t in _TOKEN.findall(line):
         if t[0].isdigit():
             out.append("0")
         elif words and t[0].isalpha():
             out.append("W" if t[0].isupper() else "w")
         else:
             out.append(t.lower())
-    return " ".join(out)
+    whole = " ".join(out)
+    return whole if len(out) <= _PIECES else hashlib.blake2b(whole.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def identity(text: str | None) -> tuple[int, bool]:
+    """(hash of the text with digits as 0, whether it is a brief reply as a whole)."""
+    end = text.strip() if isinstance(text, str) else ""
+    brief = "\n" not in end and len(end) <= 100 and len(_TOKEN.findall(end)) <= BRIEF
+    return int.from_bytes(hashlib.blake2b(_DIGITS.sub("0", end).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), brief
 
 
 def judge(text: str | None) -> tuple[str, str, str, int]:
@@ -133,32 +146,41 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             v = [judge(t) for t in pdf["__text"]]
-            yield pd.DataFrame({key: pdf[key], "__source": pdf["__source"], "verdict": [x[0] for x in v], "exact": [x[1] for x in v], "words": [x[2] for x in v], "pieces": [x[3] for x in v]})
+            same = [identity(t) for t in pdf["__text"]]
+            yield pd.DataFrame({key: pdf[key], "__source": pdf["__source"], "verdict": [x[0] for x in v], "exact": [x[1] for x in v], "words": [x[2] for x in v], "pieces": [x[3] for x in v], "same": [x[0] for x in same], "brief": [x[1] for x in same]})
 
     slim = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("\0")).alias("__source"), F.col(text).alias("__text"))
-    return slim.mapInPandas(run, f"`{key}` {kind}, __source string, verdict string, exact string, words string, pieces int")
+    return slim.mapInPandas(run, f"`{key}` {kind}, __source string, verdict string, exact string, words string, pieces int, same long, brief boolean")
 
 
 def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``key, source, is_cut`` for every document.
 
-    A shape is a habit of a source if at least 3 documents and 0.5 % of its documents end in exactly that
+    A shape is a habit of a source if at least 3 texts and 0.5 % of its different texts end in exactly that
     line (digits aside), or at least 3 and 2 % in a line of at most 8 pieces of that word pattern (speakers
-    aside); or the same, at 0.3 % and 1 %, over all sources.
+    aside); or the same, at 0.3 % and 1 %, over all sources. Brief replies count as often as they stand there.
     """
     from weftgraph.session import Stash
 
     stash = Stash(docs.sparkSession, "truncation")
     rows = stash.put(judged(docs, key, text, source), "judged")
-    size = rows.groupBy("__source").agg(F.count("*").alias("n"))
-    everything = size.agg(F.sum("n").alias("n_all"))
+    kinds = ["verdict", "exact", "words", "pieces", "brief", "same"]
+    per_source = stash.put(rows.groupBy("__source", *kinds).agg(F.count("*").alias("c")), "texts")
+    overall = per_source.groupBy(*kinds).agg(F.sum("c").alias("c"))
+    times = F.when(F.col("brief"), F.col("c")).otherwise(F.lit(1))
+    size = per_source.groupBy("__source").agg(F.sum(times).alias("n"))
+    everything = overall.agg(F.sum(times).alias("n_all"))
     open_ = rows.where(F.col("verdict") == UNDECIDED)
     both = F.explode(F.array(F.struct(F.lit("exact").alias("how"), F.col("exact").alias("shape")), F.struct(F.when(F.col("pieces") <= 8, F.lit("words")).alias("how"), F.col("words").alias("shape"))))
-    counts = open_.select("__source", both.alias("s")).select("__source", "s.how", "s.shape").where(F.col("how").isNotNull()).groupBy("__source", "how", "shape").agg(F.count("*").alias("c"))
-    counts = stash.put(counts, "counts")
+
+    def endings(texts: DataFrame, *by: str) -> DataFrame:
+        each = texts.where(F.col("verdict") == UNDECIDED).select(*by, times.alias("c"), both.alias("s")).select(*by, "c", "s.how", "s.shape")
+        return each.where(F.col("how").isNotNull()).groupBy(*by, "how", "shape").agg(F.sum("c").alias("c"))
+
+    counts = endings(per_source, "__source")
     exact = F.col("how") == "exact"
     own = counts.join(size, "__source").where(F.when(exact, (F.col("c") >= 3) & (F.col("c") >= 0.005 * F.col("n"))).otherwise((F.col("c") >= 3) & (F.col("c") >= 0.02 * F.col("n"))))
-    total = counts.groupBy("how", "shape").agg(F.sum("c").alias("c")).crossJoin(everything)  # one row of totals
+    total = endings(overall).crossJoin(everything)  # one row of totals
     total = total.where(F.when(exact, (F.col("c") >= 3) & (F.col("c") >= 0.003 * F.col("n_all"))).otherwise((F.col("c") >= 3) & (F.col("c") >= 0.01 * F.col("n_all"))))
     by_exact = own.where(exact).select("__source", F.col("shape").alias("exact"), F.lit(1).alias("h1"))
     by_words = own.where(~exact).select("__source", F.col("shape").alias("words"), F.lit(1).alias("h2"))
