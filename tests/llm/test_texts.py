@@ -228,6 +228,14 @@ def test_credentials_without_training_data(spark):
     assert C.find(df.where("false"))[0].collect() == []
 
 
+def test_training_sample_is_not_filled_by_copies(spark):
+    copy = 'K_API_KEY = "Gh7Kp2Lq9Xs4Vb8Nm3Rt6Yw1"'
+    rows = [(f"c{i}", i, None, "file", "r", f"r/src/c{i}.js", copy) for i in range(3000)] + [("f", 9000, None, "file", "r", "r/src/f.js", many())]
+    scanned = C._scan(files(spark, rows).repartition(1))
+    assert C.train(scanned, fit_rows=200).trained
+    assert (C.train(scanned, fit_rows=200).weights == C.train(scanned.repartition(3), fit_rows=200).weights).all()
+
+
 def test_calibrated_on_held_out(found):
     import numpy as np
 

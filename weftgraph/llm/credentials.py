@@ -274,6 +274,8 @@ def _scan(nodes: DataFrame) -> DataFrame:
 
 
 _COLUMNS = ["ord", "line_no", "start", "end", "value", "left", "kind", "quoted", "comment", "alone", "config", "test", "pair", "n"]
+#: What the features of a candidate are made of.
+_JUDGED = ["value", "left", "kind", "quoted", "comment", "alone", "config", "test"]
 
 
 def _features_of(pdf: pd.DataFrame, logp: np.ndarray) -> list[list[float]]:
@@ -285,16 +287,18 @@ def _features_of(pdf: pd.DataFrame, logp: np.ndarray) -> list[list[float]]:
 
 def train(scanned: DataFrame, fit_rows: int = 20000) -> Model:
     """Markov model from the pair counts of all texts (at most 16384 numbers), regression from at most
-    ``fit_rows`` candidates, chosen by a hash of their value so that every run picks the same."""
+    ``fit_rows`` different candidates, those of the smallest hashes of all that the features are made of: copies of
+    a file count once and every run picks the same."""
     counts = np.zeros((128, 128))
     for r in scanned.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r.pair // 128, r.pair % 128] = r.n
     smooth = counts + 0.5
     logp = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     cands = scanned.where(F.col("ord").isNotNull())
-    total = cands.count()
+    cands = cands.select(*_JUDGED).withColumn("h", F.xxhash64(*_JUDGED))
+    total = cands.select("h").distinct().count()
     share = min(1.0, 1.2 * fit_rows / max(1, total))
-    sample = cands.where(F.pmod(F.xxhash64("value", "line_no"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(fit_rows).toPandas()
+    sample = cands.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).distinct().orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(fit_rows).toPandas()
     x = np.asarray(_features_of(sample, logp), float).reshape(len(sample), len(FEATURES))
     y = np.asarray([weak_label(list(r)) for r in x])
     use = y >= 0
