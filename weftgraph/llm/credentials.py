@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from weftgraph.session import Stash
 
 CONFIG = frozenset(["json", "yml", "yaml", "env", "properties", "toml", "ini", "cfg", "conf"])
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"((?:(?!-----(?:BEGIN|END) ).)*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
+#: Without its end a block reaches as far as its header and base64 lines.
+_PEM_OPEN = re.compile(r"((?:(?:\\[nr]|\s)*+[A-Z][A-Za-z-]+: [^\n\\]*+)*+(?:(?:\\[nr]|[\s\"'`+.,\\])*+(?:[A-Za-z0-9+/]{16,}+={0,2}(?=\s*(?:\\[nr]|[\r\n\"'`]|\Z))|[A-Za-z0-9+/]{1,15}(?:={1,2}|\Z)))*+)")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,24}://[^\s:/@\"'`<>]{0,80}:([^\s@\"'`/<>]{3,200})@")
 _VALUE = re.compile(r"([\"'`=:])\s?(?:(?:Bearer|Basic|Token|bearer|basic|token) )?([A-Za-z0-9+/_.~!@#$%^&*?-]{8,}={0,2})")
 _PIECE = re.compile(r"[\"'`]\s*(?:\+|\.\.|\.|&|\\?\n)?\s*(?:\\?\n\s*)?[\"'`]([A-Za-z0-9+/_.~!@#$%^&*?=-]{4,})(?=[\"'`])")
@@ -80,12 +83,13 @@ def candidates(text: str, config: bool) -> list[Candidate]:
     out: list[Candidate] = []
     taken: list[tuple[int, int]] = []
     if "PRIVATE KEY" in text:
-        for m in _PEM.finditer(text):
+        for begin in _PEM.finditer(text):
+            m = _PEM_BODY.match(text, begin.end()) or _PEM_OPEN.match(text, begin.end())
             body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m.group(1)[:4000])
             if len(body) >= 32:
                 span = m.span(1)
-                out.append(Candidate(m.start(), m.end(), body[:200], "", "pem", True, False, (span,), False))
-            taken.append(m.span())
+                out.append(Candidate(begin.start(), m.end(), body[:200], "", "pem", True, False, (span,), False))
+            taken.append((begin.start(), m.end()))
     if "://" in text:
         for m in _URL.finditer(text):
             s, e = m.span(1)
