@@ -9,8 +9,9 @@ other remarks on generating are somebody's own text, and so are the same words i
 sketch are shuffled.
 
 Copies that lost their notice are found by sketch: each body gives its ``SKETCH`` smallest hashes of five
-consecutive code lines. A file that shares at least half of them with third-party files, or with files of at
-least ``REPOS`` other repos, is a copy. Hashes are pre-aggregated per task and the join carries hashes only.
+consecutive code lines. A file is a copy if at least half of them are marks that stand in third-party files, or in
+files of at least ``REPOS`` repos, its own included. Bodies of fewer than ``RUN`` + 3 lines have no sketch, so their
+copies are not found, nor are equal bodies of two repos only. Hashes are pre-aggregated per task and the join carries hashes only.
 
 Defined cases. Null, empty and blank content, and configuration files (JSON, YAML, properties), are never found.
 The current version of an id counts, repeated rows do not matter. Very long texts are read whole.
