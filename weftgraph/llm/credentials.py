@@ -3,8 +3,9 @@
 1. One pass over all texts lists candidates (private key blocks, passwords in URLs, assigned or quoted values,
    values in pieces) with their context, and counts character pairs. Counts merge over all texts into a Markov
    model of ordinary code and values.
-2. Plain patterns give weak labels to the candidates they are sure of: known formats and random values under
-   telling names on one side, placeholders, references, digests, public keys and words on the other.
+2. Plain patterns give weak labels to the candidates they are sure of: key blocks with a key in them, known formats
+   and random values under telling names on one side, placeholders, values written as references, digests, public
+   keys, long encoded data and words on the other.
 3. Logistic regression is trained on a bounded sample of the labelled candidates (``fit_rows``) over the Markov
    likelihood, the form of the value, the surrounding identifiers and the path, and calibrated on a held-out
    fifth of it. Everything scoring at least ``threshold`` is a credential, labelled or not.
@@ -12,8 +13,10 @@
    character, so quotes, line ends and the rest of the text stay as they are.
 
 Defined cases. Null and empty content has no credentials and is returned as it is. Lines are split at "\\n" and
-counted from 1; a value in pieces and a key block count at their first line. Repeated rows are judged alike,
-the current version of an id counts. Without labels of both kinds the weak labels themselves decide.
+counted from 1; a value in pieces and a key block count at their first line. Values of any length are read whole;
+those of 4 to 7 characters are candidates under a telling name only, shorter ones only as passwords in URLs.
+Identifiers are read in the ``CONTEXT`` characters before a value. Repeated rows are judged alike, the current
+version of an id counts. Without labels of both kinds the weak labels themselves decide.
 """
 
 from __future__ import annotations
@@ -31,26 +34,30 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import Stash
 
+#: Characters before a value, on its line, in which identifiers are read.
+CONTEXT = 90
 CONFIG = frozenset(["json", "yml", "yaml", "env", "properties", "toml", "ini", "cfg", "conf"])
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"((?:(?!-----(?:BEGIN|END) ).)*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 #: Without its end a block reaches as far as its header and base64 lines.
 _PEM_OPEN = re.compile(r"((?:(?:\\[nr]|\s)*+[A-Z][A-Za-z-]+: [^\n\\]*+)*+(?:(?:\\[nr]|[\s\"'`+.,\\])*+(?:[A-Za-z0-9+/]{16,}+={0,2}(?=\s*(?:\\[nr]|[\r\n\"'`]|\Z))|[A-Za-z0-9+/]{1,15}(?:={1,2}|\Z)))*+)")
-_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,24}://[^\s:/@\"'`<>]{0,80}:([^\s@\"'`/<>]{3,200})@")
-_VALUE = re.compile(r"([\"'`=:])\s?(?:(?:Bearer|Basic|Token|bearer|basic|token) )?([A-Za-z0-9+/_.~!@#$%^&*?-]{8,}={0,2})")
+_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,24}://[^\s:/@\"'`<>]*+:([^\s@\"'`/<>]++)@")
+_VALUE = re.compile(r"([\"'`=:])\s?(?:(?:Bearer|Basic|Token|bearer|basic|token) )?([A-Za-z0-9+/_.~!@#$%^&*?-]{4,}={0,2})")
 _PIECE = re.compile(r"[\"'`]\s*(?:\+|\.\.|\.|&|\\?\n)?\s*(?:\\?\n\s*)?[\"'`]([A-Za-z0-9+/_.~!@#$%^&*?=-]{4,})(?=[\"'`])")
 _LISTED = re.compile(_PIECE.pattern.replace("(?:\\+|", "(?:,|\\+|", 1))
-_COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;)")
+_COMMENT = re.compile(r"[ \t]*(?://|#|/\*|\*|--|<!--|;)")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _STRONG = re.compile(r"(?:api|access|private|signing|service|session|client|webhook|auth|db|database|account|encryption|master|deploy|admin|user|root|refresh|bearer|storage|shared|app|ssh|jwt|bot|license|registry)[ ]?(?:key|token|secret|password|passwd|pass|pwd|credential)s?\b|\b(?:password|passwd|passphrase|pwd|secret|credentials?|authorization)\b|\b(?:login|connect|sign ?in|authenticate) ?(?:as|with)?\b")
 _WEAK = re.compile(r"\b(?:token|key|auth|pass|bearer|basic|apikey|login)\b")
 _DIGEST = re.compile(r"\b(?:integrity|digest|checksum|sha ?\d*|md ?5|hash|etag|fingerprint|commit|revision|public|nonce|uuid|guid|image)\b")
 _PLACEHOLDER = re.compile(r"^(?:(.)\1{3,}.*|.*(?:x{4,}|\*{3,}|\.{3,}|_{4,}|-{4,}|0{8,}|1234567).*)$|replace[_-]?(?:me|this)|change[_-]?(?:me|it|this)|\byour[_-]|[_-](?:here|goes)\b|example|placeholder|dummy|sample[_-]?(?:key|token|secret)|redacted|insert[_-]|todo|fixme|not[_-]?(?:a|the|real|set)|fake|\bnone\b|\bnull\b|foobar|lorem", re.I)
-_REFERENCE = re.compile(r"^(?:\$|%|@\w|\{\{|<)|vault|\benv(?:iron)?\b|^(?:ssm|arn|kms|secretsmanager|op|keychain|file|ref|config|secret)[:/]|-ref[/:]|\$\{|\{\{|process\.|getenv|\bsecrets?/", re.I)
+#: The whole value is written as a reference; a word such as "vault" inside a value says nothing.
+_REFERENCE = re.compile(r"^//|^(?:\$[A-Z][A-Z0-9_]*|%[A-Z][A-Z0-9_]*%|<.*)$|^(?:[\w.]+-ref|vault|ssm|arn|kms|secretsmanager|op|keychain|file|ref|config|secrets?|env|environ)[:/]|^(?:process\.)?env(?:iron)?[.\[]|\$[{(]|\{\{|\bgetenv\b|[:/.-]secrets?/")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HEX, _JWT = re.compile(r"^(?:0x)?[0-9a-fA-F]+$"), re.compile(r"^ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}$")
 _KNOWN = re.compile(r"^(?:(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{16}|AIza[\w-]{35}|(?:sk|rk)[-_](?:live_|test_|proj-|ant-)?[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{10,}|npm_[A-Za-z0-9]{20,}|pypi-[\w-]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|dop_v1_\w{20,}|shp(?:at|ss)_\w{16,}|ya29\.[\w-]{16,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*)$")
-_PUBLIC = re.compile(r"^(?:pk|pub|public|publishable|ssh-(?:rsa|ed25519|dss)|ecdsa|AAAA[BC]3Nza)[-_]?", re.I)
+_PUBLIC = re.compile(r"^(?:(?:pk|pub|public|publishable)[-_]|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|AAAA[BC]3Nza)", re.I)
+_MIXED = re.compile(r"[a-z][A-Z]+[a-z]+[A-Z]+[a-z]*[A-Z]|^[A-Z0-9]{16,}$")
 _PREFIXED = re.compile(r"^[a-z]{2,8}\d?(?:[-_.][a-z]{2,8})?[-_.](?=[A-Za-z0-9_.-]*\d)(?=[A-Za-z0-9_.-]*[A-Z])[A-Za-z0-9_.-]{12,}$")
 _PASSWORD = re.compile(r"^(?=[^\d]*\d)(?=.*[A-Za-z])[A-Za-z]+(?:[-_.]?[A-Za-z]+){0,3}\d{1,4}[!#%$@&*?^~]*$")
 _NUMERIC = re.compile(r"^[\d.:/TZ+%_-]+$|^v?\d+(?:\.\d+)+\S{0,12}$|^\d{4}-\d\d-\d\d")
@@ -85,17 +92,16 @@ def candidates(text: str, config: bool) -> list[Candidate]:
     if "PRIVATE KEY" in text:
         for begin in _PEM.finditer(text):
             m = _PEM_BODY.match(text, begin.end()) or _PEM_OPEN.match(text, begin.end())
-            body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m.group(1)[:4000])
-            if len(body) >= 32:
-                span = m.span(1)
-                out.append(Candidate(begin.start(), m.end(), body[:200], "", "pem", True, False, (span,), False))
+            body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m.group(1))
+            if body:
+                out.append(Candidate(begin.start(), m.end(), body, "", "pem", True, False, (m.span(1),), False))
             taken.append((begin.start(), m.end()))
     if "://" in text:
         for m in _URL.finditer(text):
             s, e = m.span(1)
             out.append(Candidate(s, e, m.group(1), "", "url", True, False, ((s, e),), False))
             taken.append(m.span())
-    upto, k = 0, 0
+    upto, k, line_at, line_seen = 0, 0, 0, 0
     taken.sort()
     for m in _VALUE.finditer(text):
         s, e = m.span(2)
@@ -108,11 +114,13 @@ def candidates(text: str, config: bool) -> list[Candidate]:
         digit, alpha = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
         if not alpha:
             continue
-        begin = text.rfind("\n", max(0, s - 200), s) + 1 or max(0, s - 200)
-        left = text[max(begin, s - 90) : s]
-        if not digit and not _STRONG.search(_words(left)):
+        newline = text.rfind("\n", line_seen, s)
+        begin = line_at = newline + 1 if newline >= 0 else line_at
+        line_seen = s
+        left = text[max(begin, s - CONTEXT) : s]
+        if (len(v) < 8 or not (digit or _MIXED.search(v))) and not _STRONG.search(_words(left)):
             continue
-        comment = bool(_COMMENT.match(left)) if begin >= s - 90 else False
+        comment = bool(_COMMENT.match(text, begin))
         after = text[e : e + 1]
         if not quoted:
             inside = left.count('"') % 2 == 1 or left.count("'") % 2 == 1 or left.count("`") % 2 == 1
@@ -139,8 +147,8 @@ def candidates(text: str, config: bool) -> list[Candidate]:
             end = p.end(1)
         upto = end
         line_end = text.find("\n", e)
-        line = text[begin : line_end if line_end >= 0 else len(text)].strip()
-        alone = len(spans) > 3 or (line[:1] in "\"'`" and len(line) - len(v) < 5 and len(v) > 40)
+        line_end = line_end if line_end >= 0 else len(text)
+        alone = len(spans) > 3 or (len(v) > 40 and line_end - begin - len(v) < 40 and (line := text[begin:line_end].strip())[:1] in "\"'`" and len(line) - len(v) < 5)
         out.append(Candidate(s, end, whole, left, "value", quoted, comment, tuple(spans), alone))
     out.sort(key=lambda c: c.start)
     return out
@@ -161,27 +169,31 @@ def features(c: Candidate, config: bool, test: bool, logp: np.ndarray) -> list[f
     strong = bool(_STRONG.search(tail)) or c.kind != "value"
     hexed = bool(_HEX.match(v)) and dig > 0
     known = bool(_KNOWN.match(v))
-    public = bool(_PUBLIC.match(v)) or "PUBLIC KEY" in c.left
+    block = c.kind == "pem"
+    public = not block and (bool(_PUBLIC.match(v)) or "PUBLIC KEY" in c.left)
     low_left = c.left.lower()
     data_uri = "base64," in low_left or low_left.rstrip().endswith("data:")
     sha = bool(re.match(r"^(?:sha\d{1,3}|md5)[-:=]", v)) or bool(re.search(r"(?:sha\d{1,3}|md5)[-:]$", low_left))
-    place = bool(_PLACEHOLDER.search(v)) or len(set(v.lower())) <= 3
-    ref = bool(_REFERENCE.search(v))
+    # A key block without a key: too little in it, or too few different characters.
+    place = (n < 32 or len(set(v)) < 16) if block else bool(_PLACEHOLDER.search(v)) or len(set(v.lower())) <= min(3, n - 1)
+    ref = not block and bool(_REFERENCE.search(v))
     numeric, path = bool(_NUMERIC.match(v)), bool(_PATH.match(v)) and not known
     random = float(entropy > 3.2 and changes > 0.25 and n >= 12 and not hexed and not path)
     return [
         markov, entropy, math.log(n), dig / n, up / n, low / n, 1 - (dig + up + low) / n, changes, hexed, hexed and n in (32, 40, 56, 64, 96, 128), bool(_UUID.match(v)), bool(_JWT.match(v)), known,
-        bool(_PREFIXED.match(v)), public, bool(_PASSWORD.match(v)), data_uri, sha, place, ref, numeric, path, c.alone or (n > 120 and not known), strong, bool(_WEAK.search(tail)), bool(_DIGEST.search(tail)),
-        strong * random, strong and bool(_PASSWORD.match(v)), random * (not strong) * (not data_uri) * (not sha) * (not c.alone), c.kind == "url", c.kind == "pem", bool(re.search(r"(?:bearer|basic) ?$|authorization|x-[\w-]+", low_left)), c.quoted, c.comment, config, test,
+        bool(_PREFIXED.match(v)), public, bool(_PASSWORD.match(v)), data_uri, sha, place, ref, numeric, path, c.kind == "value" and (c.alone or (n > 120 and not known)), strong, bool(_WEAK.search(tail)), bool(_DIGEST.search(tail)),
+        strong * random, strong and bool(_PASSWORD.match(v)), random * (not strong) * (not data_uri) * (not sha) * (not c.alone), c.kind == "url", block, bool(re.search(r"(?:bearer|basic) ?$|authorization|x-[\w-]+", low_left)), c.quoted, c.comment, config, test,
     ]
 
 
 def weak_label(x: list[float]) -> int:
     """1 a sure credential, 0 surely none, -1 not known; by plain patterns only."""
     f = dict(zip(FEATURES, x, strict=True))
+    if f["pem"]:
+        return 0 if f["placeholder"] else 1
     if f["placeholder"] or f["reference"] or f["uuid"] or f["data_uri"] or f["sha_prefix"] or f["numeric"] or f["public"] or f["blob"]:
         return 0
-    if f["pem"] or f["url"] or f["known"] or f["jwt"]:
+    if f["url"] or f["known"] or f["jwt"]:
         return 1
     if f["hex"]:
         return 1 if f["strong"] and f["header"] else 0 if not f["strong"] else -1
