@@ -146,7 +146,10 @@ MINI = "!function(){" + "".join(f"var a{i}=b[{i}],c=!d&&a{i};if(a!==c){{e=\"x\"}
         ("r/src/a.ts", HAND, None), ("r/src/a.js", MINI, "minified"), ("r/src/a.ts", "// Code generated by x-gen. DO NOT EDIT.\n" + HAND, "generated"), ("r/src/a.ts", HAND.replace("'./load'", '"Code generated by x. DO NOT EDIT."'), None), ("r/src/a.ts", HAND + "// do not edit\n", None),
         ("r/vendor/lib/a.ts", HAND, "vendored"), ("r/src/vendors/a.ts", HAND, None), ("r/src/a.ts", "// tiny v1.2.3\n// Copyright the tiny authors; see the upstream repository for its licence.\n" + HAND, "vendored"), ("r/src/a.ts", "// Copyright the acme project.\n// Licensed under the terms in the LICENSE file.\n" + HAND, None),
         ("r/a.py", "T = [\n" + "    0.1234, 0.4321, 0.5678, 0.9876,\n" * 40 + "]\n", "data"), ("r/a.js", 'module.exports = "' + "aB3/" * 500 + '";\n', "encoded"), ("r/a.c", "static const unsigned char d[] = {\n" + "  0x18, 0xb7, 0xd1, 0xf8, 0xdf, 0x72, 0xd6, 0xfb, 0xc5,\n" * 30 + "};\n", "encoded"),
-        ("r/a_pb2.py", "".join(f"def get_f{i}(m):\n    return m[{i}]\n" for i in range(20)), "repetitive"), ("r/a.json", MINI, None), ("r/a.ts", None, None), ("r/a.ts", "", None), ("r/a.ts", "﻿// @generated by tool\nexport {}\n", "generated"), ("r/gen/a.ts", HAND, None),
+        ("r/a_pb2.py", "".join(f"def get_f{i}(m):\n    return m[{i}]\n" for i in range(20)), "repetitive"), ("r/a.json", MINI, None), ("r/a.ts", None, None), ("r/a.ts", "", None), ("r/a.ts", "﻿// @generated by tool\nexport {}\n", "generated"), ("r/gen/a.ts", HAND, "generated"), ("r/src/__generated__/a.ts", HAND, "generated"), ("r/gen3/a.ts", HAND, None), ("r/generator/a.ts", HAND, None), ("r/generic/a.ts", HAND, None),
+        ("r/gen/a.ts", "// edit by hand: the sync tool no longer writes this\n" + HAND, None), ("r/a.ts", "// This file was written by a tool (sync); changes to it will be lost.\n" + HAND, "generated"), ("r/a.ts", "// This module is rendered from schema.def; edits are overwritten.\n" + HAND, "generated"), ("r/a.ts", "// Do not edit by hand: output of sync over a.def\n" + HAND, "generated"),
+        ("r/a.ts", "// The numbers were produced by the nightly job and checked by hand.\n" + HAND, None), ("r/a.ts", "// Never modify the list while it is read.\n" + HAND, None), ("r/a.rb", "The cache holds the row and waits for its owner.\nThe row holds the key and waits for its cache.\n" * 9, None), ("r/a.js", "x=1", None), ("r/a.ts", "export const MAX = 512;\n", None),
+        ("r/a.js", MINI[:190], "minified"), ("r/a.go", "".join(f"func f{i}(m []any) any {{ return m[{i}] }}\n" for i in range(9)), "repetitive"), ("r/a.go", "".join(f"func f{i}(m []any) any {{ return m[{i}] }}\n" for i in range(3)), None),
     ],
 )
 def test_file_reasons(path, text, want):
@@ -180,6 +183,16 @@ def test_copies_and_versions(spark):
     assert A.unwritten(files(spark, rows).where("false")).collect() == []
 
 
+def test_short_and_long_copies(spark):
+    short = "export function clamp(value: number, low: number, high: number): number {\n  return Math.min(Math.max(value, low), high) * 1.5 + low / high - 3 * value;\n}\n"
+    long = "".join(f"export function part{i}(value: number): number {{\n  const next = value * {i} + 1;\n  if (next > {i * 7}) {{\n    return next - {i};\n  }}\n  return next;\n}}\n" for i in range(300))
+    tiny = "export {};\n"
+    rows = [(f"{k}{i}", 10 * n + i, None, "file", f"r{i}", f"r{i}/src/{k}.ts", t) for n, (k, t) in enumerate([("s", short), ("t", tiny)]) for i in range(3)]
+    rows += [("two0", 50, None, "file", "r0", "r0/two.ts", HAND), ("two1", 51, None, "file", "r1", "r1/two.ts", HAND), ("lib", 60, None, "file", "r0", "r0/vendor/l.ts", long), ("cut", 61, None, "file", "r1", "r1/l.ts", long[: len(long) * 2 // 3] + HAND)]
+    got = {r.id: r.reason for r in A.unwritten(files(spark, rows)).collect()}
+    assert got == {"s0": "copied", "s1": "copied", "s2": "copied", "lib": "vendored", "cut": "copied"}
+
+
 # -- credentials
 
 
