@@ -60,7 +60,7 @@ def test_analyze(spark, files):
     assert ("class:src/a.ts:K", "extends", "class:src/b.ts:Base") in got and ("class:src/a.ts:K", "implements", "interface:src/b.ts:One") in got and ("class:pkg/m.py:M", "extends", "class:pkg/m.py:N") in got
     assert ("file:src/a.ts:a.ts", "contains", "class:src/a.ts:K") in got
     assert nodes.where("kind = 'file'").count() == 6
-    plain = {(r.source, r.target): r.weight for r in I.resolve_calls(I.extract_facts(files), I.parse(files)).collect()}
+    plain = {(r.source, r.target): r.weight for r in I.resolve_calls(*reversed(I.parse_and_extract(files))).collect()}
     assert plain["function:src/a.ts:a", "function:src/b.ts:b"] == 0.5
 
 

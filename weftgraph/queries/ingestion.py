@@ -82,28 +82,50 @@ def i2_symbols(spark, d):
 
 
 @_register(None)
-def i4_imports(spark, d):
+def i1_signatures(spark, d):
+    """Python symbols from the syntax tree, with parameters, return type, documentation and decorators."""
+    return I.signatures(source_files(spark, d))
+
+
+def _read(spark, d):
     f = source_files(spark, d)
-    return I.resolve_imports(I.extract_facts(f), f)
+    return (f, *I.parse_and_extract(f))
+
+
+@_register(None)
+def i4_imports(spark, d):
+    f, _, facts = _read(spark, d)
+    return I.resolve_imports(facts, f)
+
+
+@_register(None)
+def i6_call_sites(spark, d):
+    return _read(spark, d)[2].where("fact = 'call'").select("repo", "path", "name", "other", "line", "owner_kind", "owner", I.call_class(F.col("other"), F.col("name")).alias("call_kind"))
 
 
 @_register(None)
 def i7_calls(spark, d):
-    f = source_files(spark, d)
-    return I.resolve_calls(I.extract_facts(f), I.parse(f))
+    _, symbols, facts = _read(spark, d)
+    return I.resolve_calls(facts, symbols)
 
 
 @_register(None)
 def i8_heritage(spark, d):
-    f = source_files(spark, d)
-    return I.resolve_heritage(I.extract_facts(f), I.parse(f))
+    _, symbols, facts = _read(spark, d)
+    return I.resolve_heritage(facts, symbols)
 
 
 @_register(None)
 def i9_tiered_calls(spark, d):
-    f = source_files(spark, d)
-    facts = I.extract_facts(f)
-    return I.resolve_calls(facts, I.parse(f), I.resolve_imports(facts, f))
+    f, symbols, facts = _read(spark, d)
+    imports = I.resolve_imports(facts, f)
+    return I.resolve_calls(facts, symbols, imports, I.resolve_bindings(facts, imports))
+
+
+@_register(None)
+def i11_bindings(spark, d):
+    f, _, facts = _read(spark, d)
+    return I.resolve_bindings(facts, I.resolve_imports(facts, f))
 
 
 @_register(f"WITH {GRAPH_SQL} SELECT id, substring(sha256(content), 1, 16) AS code_hash FROM nodes WHERE kind IN ('function', 'class', 'method', 'interface') AND content IS NOT NULL")
