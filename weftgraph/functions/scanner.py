@@ -35,6 +35,7 @@ class Call:
     args: list[tuple[int, int]]
     around: int | None
     before: str
+    closed: bool = False
 
 
 @dataclass
@@ -115,7 +116,7 @@ def read(text: str, span_lines: int = 6, hash_notes: bool = False) -> Source:
             if made is not None:
                 call = src.calls[made]
                 call.args[-1] = (call.args[-1][0], t.start)
-                call.end = t.end
+                call.end, call.closed = t.end, True
                 callee_of[made] = call.callee
                 last_close = (made, t.end, call.start)
         elif t.kind == "comma" and open_at and open_at[-1][1] is not None:

@@ -92,6 +92,19 @@ def _read(spark, d):
     return (f, *I.parse_and_extract(f))
 
 
+_IMPORTS = r"""SELECT DISTINCT repo, file_path AS path, name FROM (SELECT repo, file_path, CASE
+ WHEN ext IN ('ts', 'mts', 'js', 'mjs') THEN regexp_extract(replace(s, chr(65279), ''), '^import\s.*\sfrom\s+[''"]([^''"]+)[''"]', 1)
+ WHEN ext = 'py' THEN coalesce(nullif(regexp_extract(s, '^from\s+([\w.]+)\s+import\s', 1), ''), regexp_extract(s, '^import\s+([\w.]+)', 1))
+ WHEN ext = 'java' THEN regexp_extract(s, '^import\s+([\w.]+)', 1) WHEN ext = 'go' THEN regexp_extract(s, '^import\s+"([^"]+)"', 1) WHEN ext = 'rs' THEN regexp_extract(s, '^use\s+([\w:]+)', 1)
+ WHEN ext IN ('c', 'h') THEN regexp_extract(s, '^#include\s*[<"]([^>"]+)[>"]', 1) WHEN ext = 'rb' THEN regexp_extract(s, '^require(?:_relative)?\s+''([^'']+)''', 1) END AS name FROM lines) WHERE name <> ''"""
+
+
+@_register(f"WITH {GRAPH_SQL}, {_LINES} {_IMPORTS}")
+def i4_import_statements(spark, d):
+    """What the files of all languages name in their imports."""
+    return _read(spark, d)[2].where("fact = 'import'").select("repo", "path", "name").distinct()
+
+
 @_register(None)
 def i4_imports(spark, d):
     f, _, facts = _read(spark, d)
@@ -155,10 +168,30 @@ def d7_signals(spark, d):
     return _signals(spark, d)
 
 
-@_register(None)
+def _any(names: list[str]) -> str:
+    return "|".join(n.replace(".", r"\.").replace("(", r"\(").replace(")", r"\)") for n in names)
+
+
+_NO_TEXT = r"""regexp_replace(replace(s0, chr(65279), ''), '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`[^`]*`', '""', 'g')"""
+_CODE_LINES = rf"""{_FILES}, ln AS (SELECT repo, file_path, line, {_TRIM} AS s FROM (SELECT repo, file_path, line, s0, {_NO_TEXT} AS txt FROM (SELECT repo, file_path, unnest(l) AS s0, CAST(generate_subscripts(l, 1) AS BIGINT) AS line
+ FROM (SELECT repo, file_path, string_split(content, chr(10)) AS l FROM files WHERE ext IN ('go', 'java', 'rs', 'c', 'h', 'rb'))))),
+ g AS (SELECT repo, file_path, line, regexp_extract_all(s, '([\w$]+(?:(?:\.|->|::)[\w$]+)*)\s*\(\s*[^)\s]', 1) AS c FROM ln WHERE NOT (starts_with(s, '//') OR starts_with(s, '#') OR starts_with(s, 'import ')))""".replace("trim(line,", "trim(txt,")
+_SINKS = " UNION ALL ".join(f"SELECT repo, file_path AS path, line, '{t}' AS type, list_filter(c, lambda x : regexp_matches(x, '(?i){_any(n)}'))[1] AS sink FROM g" for t, n in X.GENERIC_SINKS.items())
+_SINKS += rf" UNION ALL SELECT repo, file_path, line, 'COMMAND_INJECTION', regexp_extract(list_filter(c, lambda x : regexp_matches(x, '(?i)(?:^|[^\w])(?:{_any(X.GENERIC_COMMANDS)})$'))[1], '(?i)({_any(X.GENERIC_COMMANDS)})$', 1) FROM g"
+
+
+@_register(f"WITH {GRAPH_SQL}, {_CODE_LINES} SELECT DISTINCT path, type, sink FROM ({_SINKS}) WHERE sink IS NOT NULL")
+def d7_sinks(spark, d):
+    """Which sinks each file calls, statements of several lines included."""
+    return _signals(spark, d).select("path", "type", "sink").distinct()
+
+
+@_register(f"""WITH {GRAPH_SQL}, {_CODE_LINES}, k AS (SELECT repo, path, line, type, sink FROM ({_SINKS}) WHERE sink IS NOT NULL),
+o AS (SELECT k.path, k.type, k.sink, k.line, max_by(n.id, (n.start_line, n.id)) AS node_id FROM k LEFT JOIN nodes n ON n.kind IN ('function', 'method') AND n.repo = k.repo AND n.file_path = k.path AND n.start_line <= k.line AND (n.end_line IS NULL OR k.line <= n.end_line) GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT path, type, sink, node_id FROM o""")
 def d9_attached_signals(spark, d):
     fns = nodes(spark, d, ["id", "ord", "repo", "kind", "file_path", "start_line", "end_line"], ["function", "method"])
-    return X.attach(_signals(spark, d), fns).select("path", "line", "type", "sink", "node_id")
+    return X.attach(_signals(spark, d), fns).select("path", "type", "sink", "node_id").distinct()
 
 
 @_register(None)
