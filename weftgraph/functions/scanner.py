@@ -1,7 +1,7 @@
 """One reading of a source text for everything that needs its structure: tokens, bracket pairs, calls, statements.
 
 The text is cut into tokens once; brackets are paired, so a call knows its arguments and the call around it, and a
-comma or bracket in a string is no structure. Unpaired brackets end with the text. No language is parsed fully.
+comma or bracket in a string is no structure. A bracket that is never closed ends with the one around it or the text. No language is parsed fully.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ _RULE = (
 _TOKEN = re.compile(_RULE.replace("NOTE", r"//[^\n]*|/\*.*?(?:\*/|\Z)"), re.S)
 #: Where # opens a comment.
 _HASH_TOKEN = re.compile(_RULE.replace("NOTE", r"#[^\n]*"), re.S)
+_PAIR = {")": "(", "]": "[", "}": "{"}
+#: So many brackets back a partner is looked for; one that lies deeper closes nothing.
+_DEEP = 200
 _FIXED = re.compile(r"(?:true|false|null|undefined|None|\d+(?:\.\d+)?)\Z")
 
 
@@ -35,7 +38,6 @@ class Call:
     args: list[tuple[int, int]]
     around: int | None
     before: str
-    closed: bool = False
 
 
 @dataclass
@@ -98,6 +100,7 @@ def read(text: str, span_lines: int = 6, hash_notes: bool = False) -> Source:
                     src.bound[binding[0]] = (binding[1], t.start)
                 begun, depth, count, binding = t.end, 0, 1, None
             src.tokens.append(t)
+            prev = None
             continue
         if t.kind == "open":
             made = None
@@ -110,13 +113,15 @@ def read(text: str, span_lines: int = 6, hash_notes: bool = False) -> Source:
                 src.calls.append(Call(callee, start, len(text), [(t.end, len(text))], next((k for _, k in reversed(open_at) if k is not None), None), before))
             open_at.append((t.value, made))
             depth += t.value == "("
-        elif t.kind == "close" and open_at:
+        elif t.kind == "close" and any(x == _PAIR[t.value] for x, _ in open_at[-_DEEP:]):
+            while open_at[-1][0] != _PAIR[t.value]:
+                open_at.pop()
             _, made = open_at.pop()
             depth -= t.value == ")"
             if made is not None:
                 call = src.calls[made]
                 call.args[-1] = (call.args[-1][0], t.start)
-                call.end, call.closed = t.end, True
+                call.end = t.end
                 callee_of[made] = call.callee
                 last_close = (made, t.end, call.start)
         elif t.kind == "comma" and open_at and open_at[-1][1] is not None:
