@@ -55,7 +55,7 @@ def test_key_quantiles_match_sorting(spark):
         v = rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) * 1e12, float(rng.randrange(5)), None, float("nan"), float("inf")])
         values[key].append(v)
     rows = [(k, v) for k, vs in values.items() for v in vs] + [(None, 1.0)]
-    got = {(r.key, r.q): r.v for r in K.key_quantiles(spark.createDataFrame(rows, "key string, v double"), ["key"], "v", [0.0, 0.25, 0.5, 0.999, 1.0], bins=16).collect()}
+    got = {(r.key, r.q): r.v for r in K.key_quantiles(spark.createDataFrame(rows, "key string, v double"), ["key"], "v", [0.0, 0.25, 0.5, 0.999, 1.0], cells=16).collect()}
     for k, vs in values.items():
         s = sorted(v for v in vs if v is not None and math.isfinite(v))
         for q in (0.0, 0.25, 0.5, 0.999, 1.0):
@@ -101,7 +101,7 @@ def test_hierarchy_against_walking(spark, seed, n, shape):
     rng.shuffle(links)
     df = spark.createDataFrame(links, "child string, parent string").withColumn("depth", F.lit(1))
     want, parent = brute(links)
-    tree = H.hierarchy(df).cache()
+    tree = H.hierarchy(df, between=" > ").cache()
     got = {r.id: (r.root_id, r.depth) for r in tree.collect()}
     assert got == {k: v[:2] for k, v in want.items()}
     paths = {r.id: r.path for r in H.paths(tree).collect()}
@@ -118,8 +118,14 @@ def test_hierarchy_against_walking(spark, seed, n, shape):
     assert {i: found[i] for i in some} == {i: below[i] if want[i][2] else set() for i in some}
 
 
+def test_parent_of_lowest_rank(spark):
+    links = spark.createDataFrame([("m", "file:a", 2), ("m", "class:b", 1), ("m", "class:a", 1), ("class:a", "file:a", 2)], "child string, parent string, rank int")
+    assert {r.id: r.parent for r in H.hierarchy(links).collect()} == {"m": "class:a", "class:a": "file:a", "file:a": None}
+    assert {r.id: r.path for r in H.paths(H.hierarchy(links, between="/"), "/").collect()}["m"] == "file:a/class:a/m"
+
+
 def test_hierarchy_empty(spark):
-    tree = H.hierarchy(spark.createDataFrame([], "child string, parent string"))
+    tree = H.hierarchy(spark.createDataFrame([], "child string, parent string"), between=" > ")
     assert tree.collect() == [] and H.paths(tree).collect() == []
     only = H.hierarchy(spark.createDataFrame([("a", "a"), (None, "b")], "child string, parent string"))
     assert [(r.id, r.root_id, r.depth) for r in only.collect()] == [("a", H.CYCLE, -1)]
@@ -156,6 +162,33 @@ def test_orphan_state_is_incremental(spark):
     assert {r.key for r in O.orphan_keys(less).collect()} == {"never"}
 
 
+def test_ledger_applies_and_withdraws(spark, tmp_path):
+    t = lambda rows: spark.createDataFrame(rows, "id string, t string").withColumn("indexed_at", F.to_timestamp_ntz("t"))
+    refs = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
+    gone = t([("a", "2031-02-01")]).select(F.col("id").alias("node_id"), F.col("indexed_at").alias("removed_at"))
+    ledger = O.Ledger(spark, str(tmp_path / "ledger"))
+    keys = lambda: {(r.key, r.refs) for r in O.orphan_keys(O.Ledger(spark, str(tmp_path / "ledger")).table("state")).collect()}
+    ledger.apply(O.reference_deltas(refs), O.node_deltas(t([("a", "2031-01-01"), ("b", "2031-01-01")])))
+    assert keys() == set()
+    ledger.apply(O.removal_deltas(gone))
+    assert keys() == {("a", 1)}
+    ledger.apply(O.node_deltas(t([("a", "2031-03-01")])))
+    assert keys() == set()
+    ledger.apply(O.node_deltas(t([("a", "2031-03-01"), ("b", "2031-01-01")]), sign=-1))
+    assert keys() == {("a", 1), ("b", 2)}
+    state = ledger.apply(O.removal_deltas(gone, sign=-1), O.reference_deltas(refs.where("key = 'b'"), sign=-1))
+    assert keys() == set() and state.where("key = 'b'").count() == 0 and len(ledger.versions()) == 1
+
+
+def test_quantiles_of_a_hot_key(spark):
+    rows = [("hot", float(i % 7919) * 1.5) for i in range(20000)] + [(f"k{i % 50}", float(i)) for i in range(3000)]
+    by = {}
+    for key, x in rows:
+        by.setdefault(key, []).append(x)
+    got = {(r.key, r.q): r.v for r in K.key_quantiles(spark.createDataFrame(rows, "key string, v double"), ["key"], "v", [0.5, 0.9]).collect()}
+    assert got == {(key, q): sorted(x)[max(1, -(-int(q * 10) * len(x) // 10)) - 1] for key, x in by.items() for q in (0.5, 0.9)}
+
+
 def test_orphans_empty(spark):
     edges, nodes, removals = (t.where("false") for t in _tables(spark))
     refs = O.references(edges, "code_edges", ["source", "target"])

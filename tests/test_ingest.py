@@ -114,15 +114,16 @@ def test_store_versions(spark, tmp_path):
     assert s.trust() == ("trusted", []) and s.read()[0].count() == 2
     s.write(O.upsert(n, n.where("id = 'a'").withColumn("file_path", F.lit("src/z.ts")), ["id"]), O.drop_dangling(n, e))
     assert {r.id: r.file_path for r in s.read()[0].collect()} == {"a": "src/z.ts", "b": "src/b.ts"} and s.read()[1].count() == 1
-    staged = s.stage(n, e)
+    staged = s.stage_graph(n, e)
     assert s.trust()[0] == "stale"
     s.abort(staged)
     s.write(n, e), s.write(n, e)
     assert first not in s.versions() and len(s.versions()) == 2
     kept, links = O.delete_files(n, e, spark.createDataFrame([("/abs/src/b.ts",)], "file_path string"))
     assert [r.id for r in kept.collect()] == ["a"] and [r.target for r in links.collect()] == ["gone"]
-    v = O.VectorStore(spark.createDataFrame([("a", "f1", [1.0]), ("b", "f2", [2.0])], "id string, file_path string, embedding array<float>"))
-    v = v.upsert(spark.createDataFrame([("a", "f1", [9.0])], "id string, file_path string, embedding array<float>")).delete_files(["f2"])
+    v = O.VectorStore(spark, str(tmp_path / "v")).build(spark.createDataFrame([("a", "f1", [1.0]), ("b", "f2", [2.0])], "id string, file_path string, embedding array<float>"))
+    v.upsert(spark.createDataFrame([("a", "f1", [9.0])], "id string, file_path string, embedding array<float>")).delete_files(spark.createDataFrame([("f2",)], "file_path string"))
+    v = O.VectorStore(spark, str(tmp_path / "v"))
     assert [(r.id, r.embedding) for r in v.vectors.collect()] == [("a", [9.0])]
 
 
@@ -131,7 +132,10 @@ def test_sinks(spark, tmp_path):
     O.to_csv(df.select("x", "n").coalesce(1), str(tmp_path / "c"))
     assert [f.read_text() for f in (tmp_path / "c").glob("*.csv")] == ['x,n\n"a,""b""",1\n']
     assert df.select(O.compact_json("x", "y")).first()[0] == '{"x":"a,\\"b\\""}'
-    doc = json.loads(O.sarif(spark.createDataFrame([("R1", "error", "bad", "a.ts", 0), ("R1", "note", "ok", "b.ts", 7)], "rule string, level string, message string, file string, line int"), "tool").first().sarif)
+    found = spark.createDataFrame([("R1", "error", "bad", "a.ts", 0), ("R1", "note", "ok", "b.ts", 7)], "rule string, level string, message string, file string, line int")
+    O.write_sarif(found.repartition(7), str(tmp_path), "found.sarif", "tool"), O.write_sarif(found.where("false"), str(tmp_path), "none.sarif", "tool")
+    assert json.loads((tmp_path / "none.sarif").read_text())["runs"][0]["results"] == [] and not list(tmp_path.glob("_parts*"))
+    doc = json.loads((tmp_path / "found.sarif").read_text())
     run = doc["runs"][0]
     assert doc["version"] == "2.1.0" and run["tool"]["driver"]["rules"] == [{"id": "R1"}] and {r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in run["results"]} == {1, 7}
     log = O.EventLog(str(tmp_path / "log.jsonl"))
@@ -145,8 +149,8 @@ def test_file_changes_and_debounce(spark):
     m = "path string, length long, modified long"
     got = {r.path: r.change for r in I.file_changes(spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], m), spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], m)).collect()}
     assert got == {"b": "modified", "c": "deleted", "d": "added"}
-    ch = spark.createDataFrame([("2031-01-01 00:00:00.000", "x"), ("2031-01-01 00:00:00.200", "y"), ("2031-01-01 00:00:00.200", "x"), ("2031-01-01 00:00:05", "x")], "t string, path string").withColumn("at", F.to_timestamp("t"))
-    assert sorted(sorted(r.paths) for r in W.debounce(ch).collect()) == [["x"], ["x", "y"]]
+    ch = spark.createDataFrame([("2031-01-01 00:00:00.000", "r", "x"), ("2031-01-01 00:00:00.200", "r", "y"), ("2031-01-01 00:00:00.200", "r", "x"), ("2031-01-01 00:00:05", "r", "x"), ("2031-01-01 00:00:00.100", "s", "x")], "t string, repo string, path string").withColumn("at", F.to_timestamp("t"))
+    assert sorted((r.repo, *sorted(r.paths)) for r in W.debounce(ch).collect()) == [("r", "x"), ("r", "x", "y"), ("s", "x")]
 
 
 def test_stream_patches_store(spark, files, tmp_path):

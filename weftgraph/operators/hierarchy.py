@@ -13,7 +13,7 @@ A node's path is its segments; its descendants are the nodes further down its ch
 segment that leaves that chain at or below it. Pairs of ancestor and descendant are never stored.
 
 Defined cases. Links with a null end are dropped, repeated links taken once, a self-link is a cycle. A child
-with several parents keeps the smallest parent id. Ids are compared byte by byte. An empty table gives an
+with several parents keeps the one of the smallest ``rank`` (links may have that column), then the smallest id. Ids are compared byte by byte. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -29,20 +29,21 @@ CYCLE = "(cycle)"
 
 def clean_links(links: DataFrame) -> DataFrame:
     """``id, parent``: one parent per child."""
-    return links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
+    rank = F.col("rank") if "rank" in links.columns else F.lit(0)
+    return links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy(F.col("child").alias("id")).agg(F.min(F.struct(rank.alias("rank"), F.col("parent"))).getField("parent").alias("parent"))
 
 
-def _climb(nodes: DataFrame, stash: Stash, slot: str, sizes: bool) -> DataFrame:
-    """``nodes``: id, parent (null at a root). Returns id, parent, root, depth and, on request, size; root and
-    depth stay null for a node that never reaches a root."""
+def _climb(nodes: DataFrame, stash: Stash, slot: str, sizes: bool, between: str | None = None) -> DataFrame:
+    """``nodes``: id, parent (null at a root). Returns id, parent, root, depth and, on request, size, or the ids from
+    the root on, joined with ``between``, as text; root and depth stay null for a node that never reaches a root."""
     at_root = F.col("parent").isNull()
     seen = Observation()
-    first = nodes.select("id", "parent", F.col("parent").alias("anc"), F.when(at_root, F.col("id")).alias("root"), F.when(at_root, F.lit(0).cast("long")).alias("depth"), F.lit(1).cast("long").alias("size"))
+    first = nodes.select("id", "parent", F.col("parent").alias("anc"), F.when(at_root, F.col("id")).alias("root"), F.when(at_root, F.lit(0).cast("long")).alias("depth"), F.lit(1).cast("long").alias("size"), F.col("id").alias("text") if between else F.lit(None).cast("string").alias("text"))
     state = stash.put(first.observe(seen, F.count("anc").alias("open")), slot)
     open_ = seen.get["open"]
     step = 1
     while open_:
-        up = state.select(F.col("id").alias("__id"), F.col("anc").alias("__anc"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+        up = state.select(F.col("id").alias("__id"), F.col("anc").alias("__anc"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("text").alias("__text"))
         nxt = state.join(up, F.col("anc") == F.col("__id"), "left")
         if sizes:
             below = state.where(F.col("anc").isNotNull()).groupBy(F.col("anc").alias("__of")).agg(F.sum("size").alias("__more"))
@@ -54,6 +55,7 @@ def _climb(nodes: DataFrame, stash: Stash, slot: str, sizes: bool) -> DataFrame:
             F.when(found, F.col("__root")).otherwise(F.col("root")).alias("root"),
             F.when(found, F.col("__depth") + step).otherwise(F.col("depth")).alias("depth"),
             "size",
+            F.when(F.col("anc").isNotNull(), F.concat_ws(between or "", "__text", "text")).otherwise(F.col("text")).alias("text"),
         )
         seen = Observation()
         state = stash.put(nxt.observe(seen, F.count("anc").alias("open")), slot)
@@ -62,25 +64,26 @@ def _climb(nodes: DataFrame, stash: Stash, slot: str, sizes: bool) -> DataFrame:
         if left == open_:
             break
         open_ = left
-    return state.select("id", "parent", "root", "depth", *(["size"] if sizes else []))
+    return state.select("id", "parent", "root", "depth", *(["size"] if sizes else []), *(["text"] if between else []))
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
-    """``links``: child, parent. One row per id on either side of a link:
+def hierarchy(links: DataFrame, between: str | None = None) -> DataFrame:
+    """``links``: child, parent and perhaps rank. One row per id on either side of a link:
 
     ``id, parent, root_id, depth, size, chain, pos, segments``; size counts the node itself and its
     descendants; chain is the id of the chain's first node and pos the place on it; segments are the
     (chain, pos) at which the path leaves each chain above, from the root down. A node on a cycle, or
-    whose ancestors lead into one, has root_id '(cycle)', depth -1 and nulls in the rest.
+    whose ancestors lead into one, has root_id '(cycle)', depth -1 and nulls in the rest. With ``between`` each row
+    has also its piece: the ids of its chain down to it, joined with that text (see ``paths``).
     """
     stash = Stash(links.sparkSession, "hierarchy")
-    parents = stash.put(clean_links(links.select("child", "parent")), "parents")
+    parents = stash.put(clean_links(links), "parents")
     ids = parents.select("id").union(parents.select("parent")).distinct()
     tree = _climb(ids.join(parents, "id", "left"), stash, "tree", sizes=True)
 
     heavy = tree.where(F.col("parent").isNotNull() & F.col("depth").isNotNull()).groupBy(F.col("parent").alias("__p")).agg(F.max(F.struct("size", "id")).getField("id").alias("__heavy"))
     on_chain = tree.where(F.col("depth").isNotNull()).join(heavy, F.col("id") == F.col("__heavy"), "left").select("id", F.when(F.col("__heavy").isNotNull(), F.col("parent")).alias("parent"))
-    chains = _climb(on_chain, stash, "chain", sizes=False).select("id", F.col("root").alias("chain"), F.col("depth").alias("pos"))
+    chains = _climb(on_chain, stash, "chain", sizes=False, between=between).select("id", F.col("root").alias("chain"), F.col("depth").alias("pos"), *([F.col("text").alias("piece")] if between else []))
     nodes = stash.put(tree.join(chains, "id", "left"), "nodes")
 
     heads = nodes.where(F.col("id") == F.col("chain")).select(F.col("id").alias("head"), F.col("parent").alias("__p"))
@@ -102,19 +105,19 @@ def hierarchy(links: DataFrame) -> DataFrame:
         "id", "parent",
         F.when(lost, F.lit(CYCLE)).otherwise(F.col("root_id")).alias("root_id"),
         F.when(lost, F.lit(-1).cast("long")).otherwise(F.col("base") + F.col("pos")).alias("depth"),
-        F.when(~lost, F.col("size")).alias("size"), "chain", "pos", "segments",
+        F.when(~lost, F.col("size")).alias("size"), "chain", "pos", "segments", *(["piece"] if between else []),
     )
 
 
-def paths(tree: DataFrame, separator: str = " > ") -> DataFrame:
-    """``id, path``: ids from the root to the node. A chain is written out once, then each node takes the
-    needed piece of every chain it passes; a chain is never longer than the longest path in the result."""
-    lists = tree.where(F.col("chain").isNotNull()).groupBy(F.col("chain").alias("__c")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("__ids"))
-    own = F.array(F.struct("chain", "pos"))
-    parts = tree.where(F.col("chain").isNotNull()).select("id", F.posexplode(F.concat("segments", own)).alias("__k", "__seg"))
-    parts = parts.join(lists, F.col("__seg.chain") == F.col("__c")).select("id", "__k", F.slice("__ids", F.lit(1), (F.col("__seg.pos") + 1).cast("int")).alias("__piece"))
-    whole = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("__k", "__piece"))).alias("__all"))
-    return whole.select("id", F.array_join(F.flatten(F.transform("__all", lambda x: x["__piece"])), separator).alias("path"))
+def paths(tree: DataFrame, between: str = " > ") -> DataFrame:
+    """``id, path``: ids from the root to the node. ``tree`` comes from ``hierarchy`` with the same ``between``. A path
+    is the piece of each node at which it leaves a chain, and the node's own piece: at most log2(n) + 1 texts, found
+    by (chain, position); no chain is gathered and no row holds more than its own path."""
+    nodes = tree.where(F.col("chain").isNotNull())
+    pieces = nodes.select(F.col("chain").alias("__c"), F.col("pos").alias("__p"), F.col("piece").alias("__piece"))
+    parts = nodes.select("id", F.posexplode("segments").alias("__k", "__seg")).join(pieces, (F.col("__seg.chain") == F.col("__c")) & (F.col("__seg.pos") == F.col("__p"))).select("id", "__k", "__piece")
+    above = parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", "__piece"))), lambda x: x["__piece"]).alias("__above"))
+    return nodes.select("id", "piece").join(above, "id", "left").select("id", F.concat_ws(between, "__above", "piece").alias("path"))
 
 
 def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""References to keys that do not exist, from signed counts per key.
+"""References to keys that do not exist, from signed counts per key, kept up to date by deltas.
 
-Every change is a delta on a key: a reference adds or takes away one, a node row adds existence, a removal
-takes it away. Deltas and state have one shape and merge by sums and maxima, so a state is kept up to date by
-merging it with the newest deltas; history is never read again. A key with positive references and zero
-existence is an orphan.
+Every change is a delta on a key: a reference adds or takes away one, a node row adds existence at its time, a removal
+takes it away at its time, and withdrawing any of these rows is the same delta with the other sign. The state holds
+the signed count of each (key, what, time); what sums to zero is gone. It merges with deltas by sums alone, so a
+``Ledger`` never reads history again. A key with positive references and zero existence is an orphan; a key exists if
+a node row is left that is later than every removal left, or no removal is left.
 
 Defined cases. Null references and null ids are no keys. Repeated rows count as often as they occur, which
 changes counts but never whether a key is an orphan. A node whose latest ``indexed_at`` is null is not later
@@ -12,10 +13,15 @@ than any removal. Rows whose time is null are reported under a null period. Empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE = ["key", "refs", "node_rows", "removals", "last_indexed", "last_removed"]
+from weftgraph.session import shared_dir
+from weftgraph.sources.folder import Versions
+
+STATE = ["key", "what", "at", "n"]
 _NTZ = "timestamp_ntz"
 
 
@@ -26,19 +32,19 @@ def references(df: DataFrame, table: str, columns: list[str], time: str = "index
 
 
 def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
-    return refs.select("key", F.lit(sign).cast("long").alias("refs"), *_zero("node_rows", "removals", "last_indexed", "last_removed"))
+    return _delta(refs, "key", "ref", F.lit(None), sign)
 
 
 def node_deltas(nodes: DataFrame, sign: int = 1) -> DataFrame:
-    return nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("key"), *_zero("refs"), F.lit(sign).cast("long").alias("node_rows"), *_zero("removals"), F.col("indexed_at").cast(_NTZ).alias("last_indexed"), *_zero("last_removed"))
+    return _delta(nodes.where(F.col("id").isNotNull()), "id", "node", F.col("indexed_at"), sign)
 
 
 def removal_deltas(removals: DataFrame, sign: int = 1) -> DataFrame:
-    return removals.where(F.col("node_id").isNotNull()).select(F.col("node_id").alias("key"), *_zero("refs", "node_rows"), F.lit(sign).cast("long").alias("removals"), *_zero("last_indexed"), F.col("removed_at").cast(_NTZ).alias("last_removed"))
+    return _delta(removals.where(F.col("node_id").isNotNull()), "node_id", "removal", F.col("removed_at"), sign)
 
 
-def _zero(*names: str) -> list:
-    return [(F.lit(None).cast(_NTZ) if n.startswith("last_") else F.lit(0).cast("long")).alias(n) for n in names]
+def _delta(df: DataFrame, key: str, what: str, at, sign: int) -> DataFrame:
+    return df.select(F.col(key).alias("key"), F.lit(what).alias("what"), at.cast(_NTZ).alias("at"), F.lit(sign).cast("long").alias("n"))
 
 
 def merge_state(*parts: DataFrame) -> DataFrame:
@@ -46,13 +52,32 @@ def merge_state(*parts: DataFrame) -> DataFrame:
     whole = parts[0].select(*STATE)
     for p in parts[1:]:
         whole = whole.unionByName(p.select(*STATE))
-    return whole.groupBy("key").agg(*[F.sum(c).alias(c) for c in STATE[1:4]], *[F.max(c).alias(c) for c in STATE[4:]])
+    return whole.groupBy("key", "what", "at").agg(F.sum("n").alias("n")).where(F.col("n") != 0).select(*STATE)
 
 
 def with_existence(state: DataFrame) -> DataFrame:
-    """Adds ``existence``: 1 where the key names a live node, else 0."""
-    live = (F.col("node_rows") > 0) & ((F.col("removals") <= 0) | F.coalesce(F.col("last_indexed") > F.col("last_removed"), F.lit(False)))
-    return state.withColumn("existence", F.when(live, 1).otherwise(0))
+    """``key, refs, existence``: 1 where the key names a live node, else 0."""
+    left = F.col("n") > 0
+    node, removal = left & (F.col("what") == "node"), left & (F.col("what") == "removal")
+    per_key = state.groupBy("key").agg(
+        F.coalesce(F.sum(F.when(F.col("what") == "ref", F.col("n"))), F.lit(0)).alias("refs"), F.max(node.cast("int")).alias("nodes"), F.max(removal.cast("int")).alias("gone"), F.max(F.when(node, F.col("at"))).alias("i"), F.max(F.when(removal, F.col("at"))).alias("r")
+    )
+    live = (F.col("nodes") == 1) & ((F.col("gone") == 0) | F.coalesce(F.col("i") > F.col("r"), F.lit(False)))
+    return per_key.select("key", "refs", F.when(live, 1).otherwise(0).alias("existence"))
+
+
+class Ledger(Versions):
+    """The stored state on the shared file system, one version per applied batch of deltas."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        super().__init__(spark, root or f"{shared_dir(spark)}/weft-orphans-{uuid.uuid4().hex[:10]}")
+
+    def apply(self, *deltas: DataFrame) -> DataFrame:
+        """Merges the deltas into the stored state, publishes and returns it. Where a batch fails, the state before
+        it stays the current one."""
+        known = [self.table("state")] if self.current() else []
+        self.save({"state": merge_state(*known, *deltas)})
+        return self.table("state")
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:

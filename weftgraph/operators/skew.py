@@ -1,8 +1,9 @@
 """Per-key results when a few keys hold most rows.
 
-Nothing here gathers the values of a key. Heavy keys and per-key quantiles are both found by exact
-distributed selection: a histogram of counts that tasks build for themselves and merge, narrowed round by
-round to the bins that can still hold an answer.
+Nothing here gathers the values of a key. Ranks are found by exact distributed selection: a histogram of counts that
+tasks build for themselves and merge, narrowed round by round to the cells that hold a rank, until each of them is one
+value. Quantiles per key are such ranks; so are heavy keys, since a value with a share of 1/k of the rows stands at
+one of the k ranks that lie so many rows apart, in any order of the values.
 
 Defined cases. Null keys form no group (their rows still count towards the total that a share refers to).
 Null and non-finite values take no part in quantiles, a key without any value has null quantiles. Repeated
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 from weftgraph.session import Stash
 
 _BITS = 16
+#: A key with more than this share of all different (key, value) is spread; there are at most 1/share of them.
+_SPREAD = 1000
 
 
 def _melt(df: DataFrame, columns: list[str], keep: list[Column] = ()) -> DataFrame:
@@ -28,46 +31,57 @@ def _melt(df: DataFrame, columns: list[str], keep: list[Column] = ()) -> DataFra
     return df.select(F.explode(pairs).alias("__p"), *keep).select("__p.ref_column", "__p.node_id", *[k for k in (df.select(*keep).columns if keep else [])])
 
 
-def heavy_keys(df: DataFrame, columns: list[str], share: str = "1/100", rounds: int = 2) -> DataFrame:
+def heavy_keys(df: DataFrame, columns: list[str], share: str = "1/100") -> DataFrame:
     """Values that stand in at least ``share`` of all rows of a column: ``ref_column, node_id, n_rows``.
 
-    A value with that share must fill at least one bin of any partition of the value space up to the
-    threshold, so bins below it are ruled out whole. Each round splits the surviving bins of the hashed
-    value into 2^16; at most ``1/share`` bins per column survive a round, which bounds the list that
-    travels between rounds. The last round counts the exact values inside the surviving bins, so hash
-    collisions cannot change the result. Shuffled: bins, never one row per distinct value.
+    With L the number of rows the share asks for, such a value stands at one of the ranks L, 2L, 3L, ... of the
+    column's values in the order of their hashes. These at most ``1/share`` ranks per column are selected: each round
+    counts the rows of the cells that still hold a rank by the next 16 bits of the hash, running sums say which cell
+    a rank falls into, and a cell of fewer than L rows is dropped. Cells of one hash are resolved; their values are
+    counted at the end by the values themselves, so equal hashes cannot change the result. Shuffled are cells, never
+    one row per value; the ranks and cells that travel between rounds are at most ``1/share`` per column.
     """
     part = Fraction(share)
     if not 0 < part <= 1:
         raise ValueError("share must be in (0, 1]")
+    stash = Stash(df.sparkSession, "heavy")
     rows = _melt(df, columns).withColumn("h", F.xxhash64("node_id"))
-    alive: list[tuple[str, int]] | None = None
-    total: int | None = None
-    for r in range(1, rounds + 1):
-        shift = 64 - _BITS * r
-        binned = rows.select("ref_column", F.col("node_id").isNull().alias("is_null"), F.shiftrightunsigned("h", shift).alias("bin"), F.shiftrightunsigned("h", shift + _BITS).alias("outer") if r > 1 else F.lit(0).cast("long").alias("outer"))
-        if alive is not None:
-            binned = binned.where(~F.col("is_null") & _among(alive, "outer"))
-        hist = binned.groupBy("ref_column", "is_null", "bin").agg(F.count("*").alias("n"))
-        if total is None:
-            total = df.count()
-            if total == 0:
+    least, done, cells, used = 0, set(), [], 0
+    while used < 64:
+        cell = F.shiftrightunsigned("h", 64 - _BITS - used)
+        inside = rows if not used else rows.where(F.col("node_id").isNotNull() & _among([(c, x) for c, x, _ in cells], F.shiftrightunsigned("h", 64 - used)))
+        outer = F.shiftrightunsigned("h", 64 - used) if used else F.lit(0).cast("long")
+        hist = inside.groupBy("ref_column", F.col("node_id").isNull().alias("is_null"), outer.alias("outer"), cell.alias("cell")).agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        hist = stash.put(hist, "cells")
+        if not used:
+            total = hist.where(F.col("ref_column") == columns[0]).agg(F.sum("n")).first()[0] or 0
+            least = -(-total * part.numerator // part.denominator)
+            if not least:
                 break
-        hist = hist.where(~F.col("is_null") & (F.col("n") * F.lit(part.denominator) >= F.lit(part.numerator * total)))
-        alive = [(x.ref_column, x.bin) for x in hist.select("ref_column", "bin").collect()]  # at most len(columns) / share rows
-        if not alive:
+        # Ranks before the cell: of the whole column in the first round, of the outer cell afterwards.
+        before = F.lit(0).cast("long")
+        for c, x, n in cells if used else []:
+            before = F.when((F.col("ref_column") == c) & (F.col("outer") == x), F.lit(n)).otherwise(before)
+        upto = before + F.sum("n").over(Window.partitionBy("ref_column", "outer").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = hist.where(~F.col("is_null")).withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("n"))
+        holds = (F.floor(F.col("upto") / least) > F.floor(F.col("base") / least)) & (F.col("n") >= least)
+        found = ranked.where(holds).select("ref_column", "cell", "base", "lo", "hi").collect()  # at most 1/share rows per column
+        used += _BITS
+        done |= {(r.ref_column, r.lo) for r in found if r.lo == r.hi}
+        cells = [(r.ref_column, r.cell, r.base) for r in found if r.lo != r.hi]
+        if not cells:
             break
-    if not alive:
+    stash.drop("cells")
+    if not done:
         return rows.where(F.lit(False)).select("ref_column", "node_id", F.lit(0).cast("long").alias("n_rows"))
-    final = rows.withColumn("bin", F.shiftrightunsigned("h", 64 - _BITS * rounds)).where(F.col("node_id").isNotNull() & _among(alive, "bin"))
-    counts = final.groupBy("ref_column", "node_id").agg(F.count("*").alias("n_rows"))
-    return counts.where(F.col("n_rows") * F.lit(part.denominator) >= F.lit(part.numerator * total))
+    counts = rows.where(F.col("node_id").isNotNull() & _among(sorted(done), F.col("h"))).groupBy("ref_column", "node_id").agg(F.count("*").alias("n_rows"))
+    return counts.where(F.col("n_rows") >= least)
 
 
-def _among(alive: list[tuple[str, int]], column: str) -> Column:
+def _among(alive: list[tuple[str, int]], value: Column) -> Column:
     test = F.lit(False)
     for c in sorted({a for a, _ in alive}):
-        test = test | ((F.col("ref_column") == c) & F.col(column).isin([b for a, b in alive if a == c]))
+        test = test | ((F.col("ref_column") == c) & value.isin([b for a, b in alive if a == c]))
     return test
 
 
@@ -75,22 +89,25 @@ def key_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``ref_column, node_id, n_rows, n_other``: rows of every key and distinct non-null other ends.
 
     ``columns`` is a pair. Rows first collapse to (key, other end), which spreads a hot key over all
-    tasks by its other ends; the second aggregation then merges one partial row per task and key.
+    tasks by its other ends; the second aggregation then merges one partial row per task and key. The other end
+    travels as 128 bits of hash, so that only keys are shuffled as text.
     """
     a, b = columns
-    both = F.array(F.struct(F.lit(a).alias("ref_column"), F.col(a).alias("node_id"), F.col(b).alias("other")), F.struct(F.lit(b).alias("ref_column"), F.col(b).alias("node_id"), F.col(a).alias("other")))
+    end = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.col(c)).alias("x"), F.xxhash64(F.lit(1), F.col(c)).alias("y")))
+    both = F.array(F.struct(F.lit(a).alias("ref_column"), F.col(a).alias("node_id"), end(b).alias("other")), F.struct(F.lit(b).alias("ref_column"), F.col(b).alias("node_id"), end(a).alias("other")))
     pairs = df.select(F.explode(both).alias("p")).select("p.*").where(F.col("node_id").isNotNull()).groupBy("ref_column", "node_id", "other").agg(F.count("*").alias("c"))
     return pairs.groupBy("ref_column", "node_id").agg(F.sum("c").alias("n_rows"), F.count("other").alias("n_other"))
 
 
-def key_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], bins: int = 256) -> DataFrame:
+def key_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], cells: int = 256) -> DataFrame:
     """Exact discrete quantiles per key: ``*keys, q, v`` with v the smallest value whose rank reaches ceil(q*n).
 
-    Counts per (key, value) are merged first. A key with at most ``bins`` different values is resolved
-    from those counts at once. For the others the bracket that holds a rank is cut into ``bins`` cells,
-    the cells are counted, and the cell with the rank becomes the next bracket, narrowed to the values it
-    really holds, until a bracket is one value. A cell split is monotone, so rounding cannot misplace a
-    rank, and the ends of a bracket always fall in different cells, so every round makes progress.
+    Counts per (key, value) are merged first. The bracket that holds a rank, at first all values of the key, is cut
+    into ``cells``, the cells are counted, and the cell with the rank becomes the next bracket, narrowed to the values
+    it really holds, until a bracket is one value; every key takes this way. Counts meet the brackets by (key, slot):
+    a key with more than a thousandth of all different values is spread over slots by its values, and its brackets,
+    a few numbers, go to all of them, so no task meets the values of a hot key. A cell split is monotone, so rounding
+    cannot misplace a rank, and the ends of a bracket always fall in different cells, so every round makes progress.
     """
     spark = df.sparkSession
     stash = Stash(spark, "quantiles")
@@ -102,28 +119,31 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[fl
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     counts = stash.put(df.where(present & finite).select(*keys, (v + F.lit(0.0)).alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__c")), "counts")
     stats = stash.put(counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.count("*").alias("__d"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")), "stats")
+    unit = max(1, (stats.agg(F.sum("__d")).first()[0] or 0) // _SPREAD)
+    hot = stats.where(F.col("__d") > unit).select(*keys, F.ceil(F.col("__d") / unit).cast("int").alias("__slots"))  # at most _SPREAD rows
+    spread = lambda x: x.join(F.broadcast(hot), keys, "left").withColumn("__slots", F.coalesce("__slots", F.lit(1)))
+    placed = stash.put(spread(counts).withColumn("__slot", F.pmod(F.xxhash64("__v"), F.col("__slots")).cast("int")).drop("__slots"), "placed")
+    stash.drop("counts")
+
     qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
     rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("q") * F.col("__n")))
-
-    few = counts.join(stats.where(F.col("__d") <= bins).select(*keys, "__n"), keys)
-    order = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    few = few.withColumn("__cum", F.sum("__c").over(order)).withColumn("q", qs)
-    few = few.where((F.col("__cum") >= rank) & (F.col("__cum") - F.col("__c") < rank))
-    done = [few.select(*keys, "q", F.col("__v").alias("v"))]
-
-    open_ = stats.where(F.col("__d") > bins).withColumn("q", qs).select(*keys, "q", rank.alias("__rank"), "__lo", "__hi")
-    open_ = stash.put(open_, "open-0")
-    round_no = 0
-    while not open_.isEmpty():
-        round_no += 1
-        inside = counts.join(open_, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        cell = F.least(F.lit(bins - 1), F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * bins))
-        cells = inside.groupBy(*keys, "q", "__rank", cell.alias("__cell")).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        order = Window.partitionBy(*keys, "q").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
-        cells = cells.withColumn("__cum", F.sum("__c").over(order)).where((F.col("__cum") >= F.col("__rank")) & (F.col("__cum") - F.col("__c") < F.col("__rank")))
-        step = stash.put(cells.select(*keys, "q", (F.col("__rank") - F.col("__cum") + F.col("__c")).alias("__rank"), "__lo", "__hi"), f"open-{round_no}")
+    step = stash.put(stats.withColumn("q", qs).select(*keys, "q", rank.alias("__rank"), "__lo", "__hi"), "open-0")
+    done, round_no = [], 0
+    while True:
         done.append(step.where(F.col("__lo") == F.col("__hi")).select(*keys, "q", F.col("__lo").alias("v")))
         open_ = step.where(F.col("__lo") < F.col("__hi"))
+        if open_.isEmpty():
+            break
+        round_no += 1
+        brackets = spread(open_.select(*keys, F.col("__lo").alias("__a"), F.col("__hi").alias("__b")).distinct()).withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__slots") - 1))).drop("__slots")
+        inside = placed.join(brackets, [*keys, "__slot"]).where(F.col("__v").between(F.col("__a"), F.col("__b")))
+        cell = F.least(F.lit(cells - 1), F.floor((F.col("__v") / 2 - F.col("__a") / 2) / (F.col("__b") / 2 - F.col("__a") / 2) * cells))
+        hist = inside.groupBy(*keys, "__a", "__b", cell.alias("__cell")).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        order = Window.partitionBy(*keys, "__a", "__b").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("__cum", F.sum("__c").over(order))
+        asked = open_.select(*keys, "q", "__rank", F.col("__lo").alias("__a"), F.col("__hi").alias("__b"))
+        hit = asked.join(hist, [*keys, "__a", "__b"]).where((F.col("__cum") >= F.col("__rank")) & (F.col("__cum") - F.col("__c") < F.col("__rank")))
+        step = stash.put(hit.select(*keys, "q", (F.col("__rank") - F.col("__cum") + F.col("__c")).alias("__rank"), "__lo", "__hi"), f"open-{round_no}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

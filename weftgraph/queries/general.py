@@ -34,7 +34,9 @@ def p2_ord_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _live_links(spark: SparkSession, d: str, kinds: list[str], child: str, parent: str) -> DataFrame:
     edges = load(spark, d, "code_edges").where(F.col("kind").isin(kinds) & F.col("source").isNotNull() & F.col("target").isNotNull())
-    links = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct()
+    # Where two parents contain a child, the one of the later kind is nearer: a class and not its file.
+    rank = F.min(-F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))).alias("rank")
+    links = edges.groupBy(F.col(child).alias("child"), F.col(parent).alias("parent")).agg(rank)
     ends = links.select(F.col("child").alias("id")).union(links.select("parent")).distinct()
     nodes = load(spark, d, "code_nodes").select("id", "indexed_at").join(ends, "id", "left_semi")
     live = live_ids(nodes, load(spark, d, "node_removals").select("node_id", "removed_at"))
@@ -47,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    tree = H.hierarchy(_live_links(spark, d, ["extends"], "source", "target"))
+    tree = H.hierarchy(_live_links(spark, d, ["extends"], "source", "target"), between=" > ")
     return tree.select("id", "root_id", "depth", (F.col("size") - 1).alias("n_descendants")).join(H.paths(tree), "id", "left")
 
 
@@ -57,27 +59,45 @@ def p5_containment(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("id", "root_id", "depth", (F.col("size") - 1).alias("n_descendants"))
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node that has any."""
+    tree = H.hierarchy(_live_links(spark, d, ["extends"], "source", "target"))
+    return H.descendants(tree, tree.where("size > 1"))
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     edges = load(spark, d, "code_edges").select("ord", "source", "target", "indexed_at")
     contracts = load(spark, d, "contracts").select("ord", "node_id", "indexed_at")
     return O.references(edges, "code_edges", ["source", "target"]).unionByName(O.references(contracts, "contracts", ["node_id"]))
 
 
-def _state(spark: SparkSession, d: str, refs: DataFrame) -> DataFrame:
-    return O.merge_state(O.reference_deltas(refs), O.node_deltas(load(spark, d, "code_nodes").select("id", "indexed_at")), O.removal_deltas(load(spark, d, "node_removals").select("node_id", "removed_at")))
+def _deltas(spark: SparkSession, d: str, refs: DataFrame) -> list[DataFrame]:
+    return [O.reference_deltas(refs), O.node_deltas(load(spark, d, "code_nodes").select("id", "indexed_at")), O.removal_deltas(load(spark, d, "node_removals").select("node_id", "removed_at"))]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     refs = _references(spark, d)
-    return O.orphan_references(refs, _state(spark, d, refs)).select("table_name", "ref_column", "ord")
+    return O.orphan_references(refs, O.Ledger(spark).apply(*_deltas(spark, d, refs))).select("table_name", "ref_column", "ord")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     refs = _references(spark, d)
-    return O.orphan_report(refs, _state(spark, d, refs))
+    return O.orphan_report(refs, O.Ledger(spark).apply(*_deltas(spark, d, refs)))
+
+
+def p7_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys by a ledger that is brought up to date: first all rows that arrived in even order, with every node
+    row twice and no removal; then the odd ones, the removals, and the doubled node rows withdrawn."""
+    refs = _references(spark, d)
+    nodes = load(spark, d, "code_nodes").select("id", "indexed_at")
+    removals = load(spark, d, "node_removals").select("node_id", "removed_at")
+    ledger = O.Ledger(spark)
+    ledger.apply(O.reference_deltas(refs.where("ord % 2 = 0")), O.node_deltas(nodes), O.node_deltas(nodes))
+    ledger.apply(O.reference_deltas(refs.where("ord % 2 <> 0")), O.removal_deltas(removals))
+    return O.orphan_keys(ledger.apply(O.node_deltas(nodes, sign=-1)))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_counts, p2_weight_quantiles, p2_ord_quantiles, p5_found, p5_paths, p5_containment, p7_found, p7_report)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_counts, p2_weight_quantiles, p2_ord_quantiles, p5_found, p5_paths, p5_descendants, p5_containment, p7_found, p7_report, p7_maintained)}
 
 _LIVE = """live AS (
   SELECT n.id FROM (SELECT id, max(indexed_at) i FROM code_nodes WHERE id IS NOT NULL GROUP BY id) n
@@ -92,7 +112,7 @@ _REFS = """refs AS (
 
 def _tree_sql(kinds: str, child: str, parent: str, with_path: bool) -> str:
     return f"""WITH RECURSIVE {_LIVE},
-links AS (SELECT {child} AS id, min({parent}) AS parent FROM code_edges
+links AS (SELECT {child} AS id, arg_min({parent}, (CASE kind WHEN 'has_member' THEN 0 ELSE 1 END, {parent})) AS parent FROM code_edges
   WHERE kind IN ({kinds}) AND {child} IN (SELECT id FROM live) AND {parent} IN (SELECT id FROM live) GROUP BY 1),
 ids AS (SELECT id FROM links UNION SELECT parent FROM links),
 walk AS (
@@ -121,6 +141,12 @@ UNION ALL SELECT 'target', target, count(*), count(DISTINCT source) FROM code_ed
     "p5_found": f"SELECT id, root_id, depth FROM ({_tree_sql("'extends'", 'source', 'target', False)})",
     "p5_paths": _tree_sql("'extends'", "source", "target", True),
     "p5_containment": _tree_sql("'contains', 'has_member'", "target", "source", False),
+    "p5_descendants": f"""WITH RECURSIVE {_LIVE},
+links AS (SELECT source AS id, min(target) AS parent FROM code_edges WHERE kind = 'extends' AND source IN (SELECT id FROM live) AND target IN (SELECT id FROM live) GROUP BY 1),
+walk AS (SELECT id FROM (SELECT parent AS id FROM links) WHERE id NOT IN (SELECT id FROM links) UNION SELECT l.id FROM walk w JOIN links l ON l.parent = w.id),
+up AS (SELECT parent AS ancestor, id FROM links WHERE id IN (SELECT id FROM walk) UNION ALL SELECT l.parent, u.id FROM up u JOIN links l ON l.id = u.ancestor)
+SELECT ancestor, id FROM up""",
+    "p7_maintained": f"WITH {_LIVE}, {_REFS} SELECT key, count(*) AS refs FROM refs WHERE key NOT IN (SELECT id FROM live) GROUP BY key",
     "p7_found": f"WITH {_LIVE}, {_REFS} SELECT table_name, ref_column, ord FROM refs WHERE key NOT IN (SELECT id FROM live)",
     "p7_report": f"""WITH {_LIVE}, {_REFS} SELECT table_name, ref_column, strftime(indexed_at, '%Y-%m') AS month, count(*) AS n_refs,
 CAST(sum(CASE WHEN l.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM refs r LEFT JOIN live l ON l.id = r.key GROUP BY 1, 2, 3""",

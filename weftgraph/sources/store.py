@@ -1,89 +1,51 @@
 """Versioned graph storage and sinks.
 
-A version is a directory of parquet tables that is never changed: nodes are partitioned by kind, edges by kind.
-Publishing replaces a small pointer file; readers follow the pointer, so they see a whole version or the one
-before. Upserts and deletes are anti-joins and unions into a new version.
+Graphs, vectors and indexes are versions of parquet tables on the shared file system (``sources.folder``): nodes and
+edges are partitioned by kind. Upserts and deletes are anti-joins and unions into a new version.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import time
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from weftgraph.sources.folder import Folder, Versions
 
+SCHEMA_VERSION = 1
 
-class GraphStore:
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark, self.root, self.keep = spark, root, keep
 
-    @property
-    def pointer(self) -> str:
-        return os.path.join(self.root, "current.json")
-
-    def current(self) -> dict | None:
-        try:
-            with open(self.pointer, encoding="utf-8") as f:
-                return json.load(f)
-        except (OSError, ValueError):
-            return None
+class GraphStore(Versions):
+    TABLES = ["nodes", "edges"]
 
-    def _tables(self, version: str) -> str:
-        return os.path.join(self.root, f"v={version}")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        super().__init__(spark, root, keep)
 
-    def stage(self, nodes: DataFrame, edges: DataFrame) -> str:
-        version = f"{time.time_ns():020d}"
-        nodes.write.partitionBy("kind").parquet(f"file://{self._tables(version)}/nodes")
-        edges.write.partitionBy("kind").parquet(f"file://{self._tables(version)}/edges")
-        return version
+    def stage_graph(self, nodes: DataFrame, edges: DataFrame) -> str:
+        return self.stage({"nodes": nodes, "edges": edges}, {"nodes": ["kind"], "edges": ["kind"]})
 
-    def publish(self, version: str, **meta) -> dict:
+    def publish_graph(self, version: str, **meta) -> dict:
         """Makes a staged version current if its tables are complete; drops versions beyond ``keep``."""
-        for t in ("nodes", "edges"):
-            if not os.path.exists(os.path.join(self._tables(version), t, "_SUCCESS")):
-                raise ValueError(f"version {version} has no complete {t}")
-        record = {"version": version, "schemaVersion": SCHEMA_VERSION, "indexedAt": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **meta}
-        with open(self.pointer + ".new", "w", encoding="utf-8") as f:
-            json.dump(record, f)
-        os.replace(self.pointer + ".new", self.pointer)
-        for old in self.versions()[: -self.keep]:
-            if old != version:
-                shutil.rmtree(self._tables(old), ignore_errors=True)
-        return record
-
-    def abort(self, version: str) -> None:
-        if (self.current() or {}).get("version") != version:
-            shutil.rmtree(self._tables(version), ignore_errors=True)
-
-    def versions(self) -> list[str]:
-        return sorted(x[2:] for x in os.listdir(self.root) if x.startswith("v=")) if os.path.isdir(self.root) else []
+        return self.publish(version, self.TABLES, schemaVersion=SCHEMA_VERSION, **meta)
 
     def trust(self) -> tuple[str, list[str]]:
         """trusted, stale, corrupt, legacy or missing, with reasons."""
         record = self.current()
         if record is None:
-            return ("corrupt", ["pointer-unreadable"]) if os.path.exists(self.pointer) else ("legacy", ["no-pointer"]) if self.versions() else ("missing", ["no-index"])
+            return ("corrupt", ["pointer-unreadable"]) if self.folder.names(self.RECORD) else ("legacy", ["no-pointer"]) if self.versions() else ("missing", ["no-index"])
         if record.get("schemaVersion", 0) > SCHEMA_VERSION:
             return "corrupt", ["newer-schema"]
-        if not all(os.path.exists(os.path.join(self._tables(record["version"]), t, "_SUCCESS")) for t in ("nodes", "edges")):
+        if not self.complete(record["version"], self.TABLES):
             return "corrupt", ["missing-table"]
         return ("stale", ["newer-version-staged"]) if self.versions()[-1] > record["version"] else ("trusted", [])
 
     def read(self) -> tuple[DataFrame, DataFrame]:
-        record = self.current()
-        if record is None:
-            raise FileNotFoundError(self.pointer)
-        base = f"file://{self._tables(record['version'])}"
-        return self.spark.read.parquet(f"{base}/nodes"), self.spark.read.parquet(f"{base}/edges")
+        return self.table("nodes"), self.table("edges")
 
     def write(self, nodes: DataFrame, edges: DataFrame, **meta) -> dict:
-        return self.publish(self.stage(nodes, edges), **meta)
+        return self.publish_graph(self.stage_graph(nodes, edges), **meta)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,20 +72,24 @@ def drop_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges
 
 
-class VectorStore:
-    """Vectors by id, rewritten as a whole: full replacement, upsert and delete by file."""
+class VectorStore(Versions):
+    """Stored vectors by id (``id, file_path, embedding`` and more): full replacement, upsert and delete by file, each
+    a new version."""
 
-    def __init__(self, vectors: DataFrame):
-        self.vectors = vectors
+    @property
+    def vectors(self) -> DataFrame:
+        return self.table("vectors")
 
     def build(self, rows: DataFrame) -> VectorStore:
-        return VectorStore(rows)
+        self.save({"vectors": rows})
+        return self
 
     def upsert(self, rows: DataFrame) -> VectorStore:
-        return VectorStore(upsert(self.vectors, rows, ["id"]))
+        return self.build(upsert(self.vectors, rows, ["id"]))
 
-    def delete_files(self, files: list[str]) -> VectorStore:
-        return VectorStore(self.vectors.where(~F.col("file_path").isin(files)))
+    def delete_files(self, files: DataFrame) -> VectorStore:
+        """``files``: column file_path."""
+        return self.build(self.vectors.join(files.select("file_path").distinct(), "file_path", "left_anti"))
 
 
 # -- sinks
@@ -143,15 +109,29 @@ def compact_json(*columns: str) -> F.Column:
     return F.to_json(F.struct(*columns))
 
 
-def sarif(findings: DataFrame, tool: str, version: str = "0.1.0") -> DataFrame:
-    """One row, column ``sarif``: a SARIF 2.1.0 document of rows (rule, level, message, file, line). Findings are
-    a report for people; the document is one row by definition."""
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """One SARIF result as JSON text (column ``result``) per row of findings (rule, level, message, file, line)."""
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("rule").alias("ruleId"), F.col("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    run = findings.agg(F.sort_array(F.collect_list(result)).alias("results"), F.array_sort(F.collect_set("rule")).alias("rules"))
-    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.transform("rules", lambda r: F.struct(r.alias("id"))).alias("rules"))
-    doc = F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))).alias("runs"))
-    return run.select(F.to_json(doc).alias("sarif"))
+    return findings.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), F.col("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+
+
+def write_sarif(findings: DataFrame, root: str, name: str, tool: str, version: str = "0.1.0", most_rules: int = 10_000) -> None:
+    """A SARIF 2.1.0 document ``root/name``. Results are written by the tasks that hold them and the part files are
+    joined byte by byte, so no task and no driver holds all findings; only the ids of the rules (refused beyond
+    ``most_rules``) come to the driver."""
+    folder = Folder(findings.sparkSession, root)
+    rules = [r.rule for r in findings.select("rule").distinct().orderBy("rule").limit(most_rules + 1).collect()]
+    if len(rules) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    parts = f"_parts-{name}"
+    sarif_results(findings).select(F.concat(F.lit(","), "result").alias("value")).write.mode("overwrite").text(folder.at(parts))
+    driver = {"name": tool, "version": version, "rules": [{"id": r} for r in rules]}
+    head = f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":{json.dumps(driver)}}},"results":['
+    folder.join_parts(parts, name, head, "]}]}", skip=1)
+    folder.delete(parts)
 
 
 class EventLog:

@@ -3,7 +3,8 @@
 The native file source reports new files only, so a feed works on manifests: every micro-batch of changed paths
 names what to look at, and the difference between the stored and the current manifest says what was added,
 changed or deleted. A patch removes the affected files and everything that depends on their symbols by name,
-parses both again and publishes a new version, so cross-file edges are rebuilt and not lost.
+reads those files again, resolves their names against the stored symbols of the others and publishes a new version,
+so cross-file edges are rebuilt and not lost.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from weftgraph.sources.store import GraphStore, delete_files
 
 
 def debounce(changes: DataFrame, gap: str = "300 milliseconds", delay: str = "10 seconds") -> DataFrame:
-    """Batches of paths: changes (at, path) that follow each other within ``gap`` form one batch."""
+    """``repo, began, ended, paths``: changes (repo, at, path) of a repo that follow each other within ``gap`` form one
+    batch. Every repo has its own window, so a steady feed of many repos grows no common one."""
     late = changes.withWatermark("at", delay) if changes.isStreaming else changes
-    return late.groupBy(F.session_window("at", gap).alias("w")).agg(F.collect_set("path").alias("paths")).select(F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "paths")
+    return late.groupBy("repo", F.session_window("at", gap).alias("w")).agg(F.collect_set("path").alias("paths")).select("repo", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "paths")
 
 
 def affected_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -35,16 +37,14 @@ def affected_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Da
 
 def patch(store: GraphStore, files: DataFrame, changed: DataFrame) -> dict:
     """Brings the store up to date with ``files`` (repo, path, language, text: the present tree) after changes to
-    the paths in ``changed`` (file_path), deleted ones included. Returns the published record."""
+    the paths in ``changed`` (file_path), deleted ones included. Only changed files and those that depend on them are
+    read; of the others the stored symbols take part in resolving names. Returns the published record."""
     nodes, edges = store.read()
     touched = affected_files(nodes, edges, changed)
     kept_nodes, kept_edges = delete_files(nodes, edges, touched)
-    new_nodes, new_edges = analyze(files)
-    again = touched.withColumnRenamed("file_path", "__f")
-    fresh = new_nodes.join(again, F.col("file_path") == F.col("__f"), "left_semi")
-    ids = fresh.select("id")
-    links = new_edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(new_edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")).distinct()
-    return store.write(kept_nodes.unionByName(fresh, allowMissingColumns=True), kept_edges.unionByName(links, allowMissingColumns=True), patched=True)
+    again = files.join(touched.withColumnRenamed("file_path", "path"), "path", "left_semi")
+    new_nodes, new_edges = analyze(again, known=kept_nodes, tree=files.select("repo", "path"))
+    return store.write(kept_nodes.unionByName(new_nodes, allowMissingColumns=True), kept_edges.unionByName(new_edges, allowMissingColumns=True), patched=True)
 
 
 def watch(changes: DataFrame, store: GraphStore, tree: Callable[[], DataFrame], push: Callable[[dict], None], checkpoint: str):
