@@ -116,3 +116,16 @@ def test_lists_of_near_copies_are_exact(spark):
     assert max(abs(r.similarity - s[r.vid, r.other]) for r in rows) < 1e-5
     want = {i: set(np.argsort(-s[i])[:5]) for i in copies}
     assert sum(r.other in want[r.vid] for r in rows) >= 0.995 * len(rows)
+
+
+def test_neighbours_across_parts(spark):
+    angle = np.linspace(0, 1.2, 500)
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    found = {}
+    for rows_per_task in (40, 100_000):
+        near, _ = N.nearest(frame(spark, x), 2, k=4, time=None, block=16, curves=1, axes=1, bits=12, rows_per_task=rows_per_task)
+        got = {}
+        for r in near.collect():
+            got.setdefault(r.vid, set()).add(r.other)
+        found[rows_per_task] = sum(i + 1 in got[i] and i in got[i + 1] for i in range(499))
+    assert found[40] == found[100_000] == 499

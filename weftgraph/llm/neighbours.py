@@ -3,9 +3,10 @@
 Vectors are packed to two signed bytes per value, which moves a cosine by about 2e-6 (by 1e-5 if one value outweighs all others). A projection to the leading principal
 directions is fitted on a bounded sample (``fit_rows``); each curve rotates and shifts it at random, cuts every
 coordinate into 2^bits cells and takes the Hilbert index as a sort key. Spark range-partitions by (key, row
-number), so equal keys of a hot group still split over tasks. Within a partition each block of ``block`` rows is
-compared with itself and the next block in one matrix product; every row keeps its best k. The lists of all
-curves merge per row. Every row is on every curve; only the projection is fitted on a sample. Equal keys stand in
+number) into parts of about ``rows_per_task`` rows, so equal keys of a hot group still split over tasks. Each block of
+``block`` rows is compared with itself and the next block in one matrix product, also where the next block begins
+another part: parts hand out their first and last block, which meet in a job of their own. Every row keeps its best k.
+The lists of all curves merge per row. Every row is on every curve; only the projection is fitted on a sample. Equal keys stand in
 another order on every curve.
 
 Near copies have no order that a curve could find, so dense groups are searched whole. A row that has a quarter of
@@ -30,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,9 +240,10 @@ def _release(spark) -> None:
 
 def nearest(
     rows: DataFrame, dim: int, k: int = 5, *, id_col: str = "id", number: str = "ord", vector: str = "embedding", time: str | None = "indexed_at",
-    curves: int = 10, block: int = 640, project: int = 24, axes: int = 12, bits: int = 5, fit_rows: int = 20000, seed: int = 7, side: int = 8192,
+    curves: int = 10, block: int = 640, project: int = 24, axes: int = 12, bits: int = 5, fit_rows: int = 20000, seed: int = 7, side: int = 8192, rows_per_task: int = 16384,
 ) -> tuple[DataFrame, DataFrame]:
-    """Returns (``vid, rank, other, similarity`` with rank from 1, ``vid, id``). ``number`` is unique per row."""
+    """Returns (``vid, rank, other, similarity`` with rank from 1, ``vid, id``). ``number`` is unique per row. Inputs of
+    any size take the same way; one of fewer than two blocks is one window."""
     spark = rows.sparkSession
     stash = Stash(spark, "neighbours")
     base = stash.put(packed_vectors(rows, dim, id_col, number, vector, time), "base")
@@ -301,14 +304,18 @@ def nearest(
             if have:
                 yield pd.concat(parts, ignore_index=True)
 
-        last, known = None, []
+        last, known, place = None, [], TaskContext.get().partitionId()
+        handed = lambda x, end: pd.DataFrame({"vid": x["vid"], "near": x["q"], "part": place, "end": end})
+        part = None
         for part in blocks():
             vid, m = part["vid"].to_numpy(), _unpack(part["q"], dim)
+            if last is None:
+                yield handed(part, 1)
             own = m @ m.T
             np.fill_diagonal(own, -3.0)
             fresh = _directions(own >= DENSE, m, block // 4, known)
             if fresh:
-                yield pd.DataFrame({"vid": pd.array([None] * len(fresh), "Int64"), "near": [x.astype("<f4").tobytes() for x in fresh]})
+                yield pd.DataFrame({"vid": pd.array([None] * len(fresh), "Int64"), "near": [x.astype("<f4").tobytes() for x in fresh], "part": place, "end": 0})
             s, v = _best(own, vid, k)
             now = (vid, m, [s], [v])
             if last is not None:
@@ -317,10 +324,21 @@ def nearest(
                 now[2].append(s), now[3].append(v)
                 s, v = _best(cross, vid, k)
                 last[2].append(s), last[3].append(v)
-                yield _lists(last[0], last[2], last[3], k)
+                yield _lists(last[0], last[2], last[3], k).assign(part=place, end=0)
             last = now
         if last is not None:
-            yield _lists(last[0], last[2], last[3], k)
+            yield _lists(last[0], last[2], last[3], k).assign(part=place, end=0)
+            yield handed(part, 2)
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The last block of a part against the first of the next."""
+        x, y = pdf[pdf["end"] == 2], pdf[pdf["end"] == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"vid": pdf["vid"].iloc[:0], "near": []})
+        sim = _unpack(x["near"], dim) @ _unpack(y["near"], dim).T
+        back = _best(np.ascontiguousarray(sim.T), x["vid"].to_numpy(), k)
+        there = _best(sim, y["vid"].to_numpy(), k)
+        return pd.concat([_lists(x["vid"].to_numpy(), [there[0]], [there[1]], k), _lists(y["vid"].to_numpy(), [back[0]], [back[1]], k)], ignore_index=True)
 
     stash.drop("base")  # from here on the packed vectors are those of the keyed table
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,17 +353,23 @@ def nearest(
             o, s = o.astype("<i8"), s.astype("<f4")
             yield pd.DataFrame({"vid": pdf["vid"], "near": [o[i:j].tobytes() + s[i:j].tobytes() for i, j in zip(ends, ends[1:])]})
 
-    # Few rows share one partition, so that a small input is searched whole; many rows get partitions of at most 60,000.
-    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 * block)), n // 60000, 1)
+    parts = -(-n // rows_per_task)
     steps: dict[str, DataFrame] = {}
     leaders: list[np.ndarray] = []
     for c in range(curves):
         order = [F.col("key"), F.col("tie")]
         line = keyed.select("vid", F.col(f"k{c}").alias("key"), F.xxhash64("vid", F.lit(c)).alias("tie"), "q").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        step = stash.put(line.mapInPandas(windows, "vid long, near binary"), f"curve-{c}")
+        step = stash.put(line.mapInPandas(windows, "vid long, near binary, part int, end int"), f"curve-{c}")
         # One direction per dense group and task of a curve.
         leaders += [np.frombuffer(r.near, "<f4") for r in step.where(F.col("vid").isNull()).select("near").collect()]
-        steps[f"curve-{c}"] = step.where(F.col("vid").isNotNull())
+        lists = step.where(F.col("vid").isNotNull() & (F.col("end") == 0)).select("vid", "near")
+        # Parts follow each other in the order of the curve; those without rows are passed over.
+        held = [r.part for r in step.where(F.col("end") == 2).select("part").distinct().orderBy("part").collect()]  # one number per task
+        if len(held) > 1:
+            following = F.create_map(*[F.lit(x) for i, p in enumerate(held) for x in (p, i)])[F.col("part")]
+            edge = step.where(F.col("end") > 0).withColumn("edge", following - F.when(F.col("end") == 1, 1).otherwise(0))
+            lists = lists.unionByName(edge.select("edge", "vid", "near", "end").groupBy("edge").applyInPandas(across, "vid long, near binary"))
+        steps[f"curve-{c}"] = lists
         _release(spark)
         if len(steps) == 4 and c < curves - 1:  # one list per row instead of four
             done = stash.put(_gathered(reduce(DataFrame.unionByName, steps.values())).mapInPandas(fold, "vid long, near binary"), f"fold-{c}")
