@@ -108,6 +108,8 @@ def test_mix_short_source_and_empty(spark):
     [
         (None, "complete"), ("", "complete"), (" \n", "complete"), ("All done.", "complete"), ("Is it?", "complete"), ("終わりました。", "complete"), ("He said “no.”", "complete"), ("Code:\n```\nx = (1\n```", "complete"), ("ship it 🚀", "complete"), ("well, and so on…", "complete"),
         ("Code:\n```\nx = 1", "cut"), ("The query is slow beca…", "cut"), ("It is done <snip>", "cut"), ("A line [truncated]", "cut"), ("Text cut\n--- cut here, message too large ---", "cut"), ('{"level": "info", "file": "src/a', "cut"), ("[10:00:01] index (12 nodes, 3", "cut"), ("Calls to `load", "cut"), ("broken �", "cut"), ("see lib/a/b.", "cut"),
+        ('{"a": {\n  "b": [1,\n    2,', "cut"), ('{"a": {\n  "b": [1]\n}}', "undecided"), ('log:\n[1] start (a\n[2] stop', "undecided"), ('Run:\n{"a": "text with { and (",\n "b": 1}', "undecided"), ("He wrote (and this is a long\nremark that was never", "cut"), ("An <b>important note", "cut"), ("An <b>important</b> <br> note", "undecided"), ("She said “wait for the", "cut"),
+        ("An open ( here.\n\nThe next part of the", "undecided"), ("Uses `a(` and `b[`.", "complete"), ("Uses `a(` and\nsome more of the", "undecided"), ("see (a) and 1) two\nthird", "undecided"), ("x" * 50000 + " " + "(" * 3000 + "\n\nok.", "complete"), ("(" * 20000 + '"' * 20001, "cut"), ("word " * 30000 + "..." * 400, "cut"), ("It ends." + ")" * 5000, "complete"),
         ("see lib/a/b.go.", "complete"), ("See and/or.", "complete"), ("The watcher waits for the", "undecided"), ("LGTM", "undecided"), ("- a list item", "undecided"),
     ],
 )

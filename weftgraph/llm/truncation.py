@@ -1,10 +1,13 @@
 """Texts cut off before their end: a stack automaton over the text, and a baseline of endings per source.
 
-The automaton reads a whole text once. Its stack holds what is open: code fences, inline code, brackets and
-quotes of a structured line (log line, JSON line). It also looks at how the text ends: a stand-in for a missing
-rest, a broken multibyte sequence or escape, a sentence terminator. A text is then
+The automaton reads a whole text once, character by character where something can open or close. Its stack holds what
+is open: code fences, inline code, brackets, double quotes and typographic quotes, markup tags, escapes. A blank line
+ends what belongs to a paragraph (brackets, quotes, inline code, tags), but not fences and not the brackets and quotes
+of a structured text (JSON, log lines), which are followed over all its lines. It also looks at how the text ends: a
+stand-in for a missing rest, a broken multibyte sequence or escape, a sentence terminator. A text is then
 
-* cut, if something that must be closed is still open, or a stand-in follows an unfinished sentence;
+* cut, if a fence, a structured text or inline code is still open, or brackets, quotes or a tag of the last paragraph
+  are and it has no terminator, or a stand-in follows an unfinished sentence;
 * complete, if it ends with a terminator, a closed fence or a whole emoji reply;
 * undecided otherwise: its last line has no terminator. Then the endings of its source decide: the shape of the
   last line (digits and words replaced) is a habit of the source, such as a signature, a list item or a log
@@ -30,46 +33,106 @@ from pyspark.sql import functions as F
 
 CUT, COMPLETE, UNDECIDED = "cut", "complete", "undecided"
 
-_STAND_IN = re.compile(r"(?:\s*+(?:…|\.{3,}+|\[\s*(?:…|\.\.\.)\s*\]|[\[(<{]\s*/?(?:snip(?:ped)?|cut|more|truncated|continued|continues|clipped|omitted|shortened|rest (?:cut|omitted))\b[^\])>}\n]{0,40}[\])>}]|\(\+\d+ (?:more )?(?:chars?|characters|bytes|lines)\)|\b(?:read more|see more|show more)))++\s*$", re.I)
-_BRACKET_STAND_IN = re.compile(r"[\])>}]\s*$")
-_TERMINATOR = re.compile(r"[.!?。！？｡؟।][\"'”’»)\]`*_]*$")
-_TRAILS_OFF = re.compile(r"(?:\b(?:and so on|and so forth|etc|usw|et cetera|etcétera|y así|und so weiter|ainsi de suite|hmm+|well|wait|so|anyway|or not|maybe|who knows)|など)$", re.I)
+#: One stand-in for a missing rest at the end of what was read so far; none is longer than ``_LONGEST``.
+_STAND_IN = re.compile(r"(?:…|\.{3}|\[\s*(?:…|\.\.\.)\s*\]|[\[(<{]\s*/?(?:snip(?:ped)?|cut|more|truncated|continued|continues|clipped|omitted|shortened|rest (?:cut|omitted))\b[^\])>}\n]{0,40}[\])>}]|\(\+\d{1,12} (?:more )?(?:chars?|characters|bytes|lines)\)|\b(?:read more|see more|show more))\Z", re.I)
+_LONGEST = 64
+_TRAILS_OFF = re.compile(r"(?:\b(?:and so on|and so forth|etc|usw|et cetera|etcétera|y así|und so weiter|ainsi de suite|hmm+|well|wait|so|anyway|or not|maybe|who knows)|など)\Z", re.I)
+_TERMINATORS, _CLOSERS = ".!?。！？｡؟।", "\"'”’»)]`*_"
 #: A source path that ends at the dot before its suffix.
-_OPEN_PATH = re.compile(r"(?:^|[\s`(\"'])(?:src|lib|pkg|app|internal|packages|tests?)/(?:[\w-]+/)*[\w-]+\.$")
+_OPEN_PATH = re.compile(r"[`(\"']*(?:src|lib|pkg|app|internal|packages|tests?)/(?:[\w-]+/)*[\w-]+\.")
 #: A rule across the page that says the text was cut.
-_RULE = re.compile(r"\n\s*[-=*_~]{2,}[^\n]*\b(?:cut|snip|truncated|too (?:large|long)|clipped|omitted|continued)\b[^\n]*[-=*_~]{2,}\s*$", re.I)
+_RULE = re.compile(r"\s*[-=*_~]{2,}[^\n]*\b(?:cut|snip|truncated|too (?:large|long)|clipped|omitted|continued)\b[^\n]*[-=*_~]{2,}\s*\Z", re.I)
 #: A signature line.
 _SIGNATURE = re.compile(r"^--? ?[A-Z][\w.-]*(?: [A-Z][\w.-]*){0,3}$")
 #: Who speaks, in front of a reply.
 _SPEAKER = re.compile(r"^[\w.-]{1,20}: ")
-_STRUCTURED = re.compile(r"^\s*(?:[\[{]|\$ |at \w|\w*Error: )")
-_BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z#0-9]{0,7}|\\)$")
-_TAIL = 400
-_PAIRS = {")": "(", "]": "[", "}": "{"}
+_STRUCTURED = re.compile(r"\s*(?:[\[{]|\$ |at \w|\w*Error: )")
+#: A line of a log starts anew, whatever the one before it left open.
+_LOG_LINE = re.compile(r"\s*(?:\[[^\[\]\n]*\] \S|\$ |at \w|\w*Error: )")
+_BROKEN = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z#0-9]{0,7}|\\)\Z")
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_OPENERS = set(_PAIRS.values())
+#: What can open or close something, and ends of lines.
+_MARKS = re.compile(r"\\.|[()\[\]{}\"“”«»`\n]|</?[a-zA-Z][\w-]*(?:\s[^<>\n]*)?>", re.S)
+_VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "p", "li"])
 BRIEF, _PIECES = 4, 12
 _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 
 
-def _line_open(line: str) -> bool:
-    """Whether brackets or double quotes of one structured line stay open."""
-    stack: list[str] = []
-    i, quoted = 0, False
-    while i < len(line):
-        ch = line[i]
-        if quoted:
-            if ch == "\\":
-                i += 1
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch in "([{":
-            stack.append(ch)
-        elif ch in ")]}" and stack and stack[-1] == _PAIRS[ch]:
-            stack.pop()
-        i += 1
-    return quoted or bool(stack)
+class _Open:
+    """What is open, innermost last, with counts so that a look costs the same however much is open."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def __contains__(self, x: str) -> bool:
+        return self.count.get(x, 0) > 0
+
+    def push(self, x: str) -> None:
+        self.stack.append(x)
+        self.count[x] = self.count.get(x, 0) + 1
+
+    def close(self, x: str) -> None:
+        """Closes the innermost ``x`` and all that was opened in it; nothing where none is open."""
+        while x in self:
+            top = self.stack.pop()
+            self.count[top] -= 1
+            if top == x:
+                break
+
+    @property
+    def top(self) -> str:
+        return self.stack[-1] if self.stack else ""
+
+
+def open_at_end(text: str) -> tuple[bool, bool, list[str]]:
+    """(whether a code fence is open, whether a structured text is, what is open in the last paragraph). The whole
+    text is read; brackets of a structured text close over lines, of prose within their paragraph."""
+    fence, begun = False, 0
+    block, paragraph = _Open(), _Open()
+    structured = bool(_STRUCTURED.match(text))
+    for m in _MARKS.finditer(text):
+        t = m.group()
+        if t == "\n":
+            line = text[begun : m.start()].strip()
+            begun = m.end()
+            if line.startswith("```"):
+                fence, block, paragraph = not fence, _Open(), _Open()
+            elif not line:
+                paragraph = _Open()
+            if block.stack and _LOG_LINE.match(text, begun):
+                block = _Open()
+            if not fence and not block.stack:
+                structured = bool(_STRUCTURED.match(text, begun))
+                paragraph = _Open() if structured else paragraph
+            continue
+        if fence or t[0] == "\\":
+            continue
+        held = block if structured else paragraph
+        if t == '"' or t == "`" and not structured:
+            if held.top == "`" != t:
+                continue
+            if t in held:
+                held.close(t)
+            else:
+                held.push(t)
+        elif t == "`" or held.top == "`" or structured and held.top == '"':
+            continue
+        elif t in _OPENERS:
+            held.push(t)
+        elif t in _PAIRS:
+            held.close(_PAIRS[t])
+        elif not structured and not t.endswith("/>"):
+            name = "<" + t.strip("</>").split()[0].lower()
+            if t[1] == "/":
+                held.close(name)
+            elif name[1:] not in _VOID:
+                held.push(name)
+    if text[begun:].lstrip().startswith("```"):
+        fence, paragraph = not fence, _Open()
+    return fence, structured and bool(block.stack), [] if structured else paragraph.stack
 
 
 def shape(line: str, words: bool) -> str:
@@ -93,50 +156,52 @@ def identity(text: str | None) -> tuple[int, bool]:
     return int.from_bytes(hashlib.blake2b(_DIGITS.sub("0", end).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), brief
 
 
+def before_stand_ins(end: str) -> tuple[int, str]:
+    """(length of ``end`` without what stands in for a rest, the first of these stand-ins or "")."""
+    at, first = len(end), ""
+    while True:
+        while at and end[at - 1].isspace():
+            at -= 1
+        m = _STAND_IN.search(end, max(0, at - _LONGEST), at)
+        if not m:
+            return at, first
+        at, first = m.start(), m.group()
+        while at and first in ("...", "…") and end[at - 1] in ".…":
+            at -= 1
+
+
 def judge(text: str | None) -> tuple[str, str, str, int]:
     """(verdict, exact shape, word shape, pieces in the last line)."""
-    if not isinstance(text, str):
-        return COMPLETE, "", "", 0
-    end = text.rstrip()
+    done, cut = (COMPLETE, "", "", 0), (CUT, "", "", 0)
+    end = text.rstrip() if isinstance(text, str) else ""
     if not end:
-        return COMPLETE, "", "", 0
-    fence = False
-    last_prose: list[str] = []
-    for line in end.split("\n"):
-        if line.lstrip().startswith("```"):
-            fence = not fence
-            last_prose = []
-        elif not line.strip():
-            last_prose = []
-        elif not fence:
-            last_prose.append(line)
+        return done
+    fence, structure, paragraph = open_at_end(end)
     if fence:
-        return CUT, "", "", 0
-    last = end.split("\n")[-1].strip()
+        return cut
+    last = end[end.rfind("\n") + 1 :].strip()
     if last.startswith("```"):
-        return COMPLETE, "", "", 0
-    tail = end[-_TAIL:]  # what stands in for a rest stands at the very end; the whole text was read above
-    if _BROKEN.search(last[-_TAIL:]) or _RULE.search(tail):
-        return CUT, "", "", 0
-    stand = _STAND_IN.search(tail)
+        return done
+    if _BROKEN.search(end, max(0, len(end) - 9)) or _RULE.match(last) and "\n" in end:
+        return cut
+    at, stand = before_stand_ins(end)
     if stand:
-        body = end[: len(end) - len(tail) + stand.start()].rstrip()
-        if _TRAILS_OFF.search(body[-_TAIL:]) and not _BRACKET_STAND_IN.search(stand.group()):
-            return COMPLETE, "", "", 0
-        return (CUT if body else COMPLETE), "", "", 0
-    if _STRUCTURED.match(last) and _line_open(last):
-        return CUT, "", "", 0
-    if "`" in last and "\n".join(last_prose).count("`") % 2:
-        return CUT, "", "", 0
+        if _TRAILS_OFF.search(end, max(0, at - 40), at) and stand[-1] not in "])>}":
+            return done
+        return cut if at else done
+    if structure or "`" in paragraph and "`" in last:
+        return cut
     if _SIGNATURE.match(last):
-        return COMPLETE, "", "", 0
-    if _TERMINATOR.search(last[-_TAIL:]):
-        if _OPEN_PATH.search(last[-_TAIL:]):
-            return CUT, "", "", 0
-        return COMPLETE, "", "", 0
+        return done
+    bare = end.rstrip(_CLOSERS)
+    if bare and bare[-1] in _TERMINATORS:
+        word = bare[max(bare.rfind(" "), bare.rfind("\n")) + 1 :]
+        return cut if len(bare) == len(end) and _OPEN_PATH.fullmatch(word) else done
     pieces = _TOKEN.findall(last)
     if not any(ch.isalnum() for ch in pieces[-1]) and ord(pieces[-1][-1]) > 0x2190 and not pieces[-1][-1].isalpha() and ord(pieces[-1][-1]) not in (0x3001, 0xFF0C):
-        return COMPLETE, "", "", 0
+        return done
+    if paragraph:
+        return cut
     return UNDECIDED, shape(last, False), shape(_SPEAKER.sub("", last), True), len(pieces)
 
 
