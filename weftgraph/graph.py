@@ -3,6 +3,9 @@
 A node is the current version of its id; ``ord`` is the first arrival of the id, which stands for insertion
 order wherever "the first" matters. An edge is a distinct (source, kind, target); rows with a null end or kind
 are no edges. Ends without a node are allowed and each operator says what it does with them.
+
+The graph of a set of input tables is published once on the shared file system (``sources.published``), partitioned
+by kind, and read from there: queries scan the columns and kinds they need and shuffle no versions.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import ship_package
+from weftgraph.sources.published import published
 from weftgraph.tables import load
 
 NODE_KINDS = ["file", "directory", "function", "class", "interface", "method", "constructor", "variable", "property", "struct", "enum", "trait", "namespace", "module", "type_alias", "constant", "route", "cluster", "flow", "vulnerability"]
@@ -26,17 +31,9 @@ def node_id(kind: Column, path: Column, name: Column) -> Column:
 
 
 def nodes(spark: SparkSession, d: str, columns: list[str], kinds: list[str] | None = None) -> DataFrame:
-    """Current nodes with the named columns; only these are read and shuffled.
-
-    Ids of the code tables start with their kind, so ``kinds`` becomes a prefix filter that reaches the scan and
-    keeps other kinds out of the shuffle."""
-    rows = load(spark, d, "code_nodes")
-    if kinds is not None:
-        wanted = F.lit(False)
-        for k in kinds:
-            wanted = wanted | F.col("id").startswith(f"{k}:")
-        rows = rows.where(wanted)
-    return current_nodes(rows, columns)
+    """Current nodes with the named columns; only these, and of the kinds only those asked for, are read."""
+    rows = _graph(spark, d, "code_nodes", lambda: current_nodes(load(spark, d, "code_nodes"), NODE_COLUMNS))
+    return (rows if kinds is None else rows.where(F.col("kind").isin(kinds))).select(*columns)
 
 
 def current_nodes(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,11 +44,20 @@ def current_nodes(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str, kinds: list[str] | None = None) -> DataFrame:
-    """``source, kind, target, ord``; a kind filter reaches the scan."""
-    rows = load(spark, d, "code_edges").where(F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("kind").isNotNull())
-    if kinds is not None:
-        rows = rows.where(F.col("kind").isin(kinds))
-    return rows.groupBy("source", "kind", "target").agg(F.min("ord").alias("ord"))
+    """``source, kind, target, ord``; only the kinds asked for are read."""
+    rows = _graph(spark, d, "code_edges", lambda: distinct_edges(load(spark, d, "code_edges")))
+    return (rows if kinds is None else rows.where(F.col("kind").isin(kinds))).select("source", "kind", "target", "ord")
+
+
+def distinct_edges(rows: DataFrame) -> DataFrame:
+    whole = rows.where(F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("kind").isNotNull())
+    return whole.groupBy("source", "kind", "target").agg(F.min("ord").alias("ord"))
+
+
+def _graph(spark: SparkSession, d: str, table: str, build) -> DataFrame:
+    ship_package(spark)
+    store = published(spark, [f"{d}/{table}.parquet"], table, lambda: {table: build()}, {table: ["kind"]})
+    return store.table(table).withColumn("kind", F.col("kind").cast("string"))
 
 
 def meta(key: str) -> Column:

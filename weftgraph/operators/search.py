@@ -1,13 +1,14 @@
 """Lexical, vector and hybrid ranking.
 
-The inverted index is three frames (postings, documents, one corpus row). A query touches only the postings of
-its terms; scores are partial sums per node. Ranked lists are frames with a rank column, so fusion is a union and
+The inverted index is three frames (postings, documents, one corpus row), made from nodes or read from a stored
+version. A query of a stored index reads the buckets of its terms only; scores are partial sums per node. Ranked lists are frames with a rank column, so fusion is a union and
 a grouped sum. Ties are broken by order of arrival. A missing text counts as empty.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions import text as T
+from weftgraph.sources.folder import Versions
 
 K1, B, COMMON_SHARE, COMMON_FROM = 1.2, 0.75, 0.6, 100
 RRF_K = 60
@@ -44,6 +46,25 @@ def build_index(nodes: DataFrame, text: Column | None = None) -> Index:
     return Index(postings, sizes, sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
+#: Buckets of terms of a stored index; a query reads those of its terms.
+TERM_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def index_tables(index: Index) -> dict[str, DataFrame]:
+    """An index to be stored: postings lie together by the bucket of their term, sorted by it; the nodes of a term are
+    spread over several files, so a frequent term is no single task."""
+    rows = index.postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("term")
+    return {"postings": rows, "docs": index.docs, "corpus": index.corpus}
+
+
+def stored_index(store: Versions) -> Index:
+    return Index(store.table("postings"), store.table("docs"), store.table("corpus"))
+
+
 def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(T.SEPARATORS, query.lower()) if 2 <= len(t) <= 64))
 
@@ -52,6 +73,8 @@ def bm25(index: Index, query: str, limit: int | None = 20) -> DataFrame:
     """``id, ord, score``; terms in more than 60 % of more than 100 documents are skipped."""
     terms = query_tokens(query)
     hit = index.postings.where(F.col("term").isin(terms))
+    if "bucket" in index.postings.columns:
+        hit = hit.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms}))).drop("bucket")
     df = hit.groupBy("term").agg(F.count("*").alias("df")).crossJoin(index.corpus)  # a row per query term, one corpus row
     df = df.where(~((F.col("n") > COMMON_FROM) & (F.col("df") / F.col("n") > COMMON_SHARE)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -66,7 +89,8 @@ def update_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
     gone = changed.select("id").union(deleted.select("id")).distinct()
     new = build_index(changed)
     docs = index.docs.join(gone, "id", "left_anti").unionByName(new.docs)
-    return Index(index.postings.join(gone, "id", "left_anti").unionByName(new.postings), docs, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    kept = index.postings.select("term", "id", "tf").join(gone, "id", "left_anti")
+    return Index(kept.unionByName(new.postings), docs, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def lexical_terms(query: str) -> list[str]:

@@ -11,6 +11,7 @@ from weftgraph.operators import contracts as K
 from weftgraph.operators import impact as I
 from weftgraph.operators import search as S
 from weftgraph.queries.graph import _CALLERS, _bfs, _named
+from weftgraph.sources.published import published
 from weftgraph.tables import current, load
 
 QUERIES: dict = {}
@@ -45,14 +46,20 @@ bm AS (SELECT d.id, d.ord, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf *
 top AS (SELECT * FROM bm ORDER BY score DESC, ord, id LIMIT {limit})"""
 
 
+def _index(spark, d) -> S.Index:
+    """The search index of all nodes, stored on the shared file system by the first query that needs it."""
+    build = lambda: S.index_tables(S.build_index(nodes(spark, d, _TEXT)))
+    return S.stored_index(published(spark, [f"{d}/code_nodes.parquet"], "index", build, {"postings": ["bucket"]}))
+
+
 @_register(f"WITH {GRAPH_SQL}, {_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1")
 def t3_index_terms(spark, d):
-    return S.build_index(nodes(spark, d, _TEXT)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @_register(f"WITH {GRAPH_SQL}, {_TOKENS}, {_bm25_sql(ASK, 20)} SELECT id, score FROM top")
 def t4_bm25(spark, d):
-    return S.bm25(S.build_index(nodes(spark, d, _TEXT)), ASK, 20).select("id", "score")
+    return S.bm25(_index(spark, d), ASK, 20).select("id", "score")
 
 
 @_register(None)
@@ -60,7 +67,7 @@ def t6_index_update(spark, d):
     """The index after all nodes of one repo are deleted and indexed again: equal to a fresh one."""
     n = nodes(spark, d, [*_TEXT, "repo"])
     some = n.where("repo = 'quarry-core'")
-    index = S.update_index(S.build_index(n), some, some.select("id"))
+    index = S.update_index(_index(spark, d), some, some.select("id"))
     return S.bm25(index, ASK, 20).select("id", "score")
 
 
@@ -118,7 +125,7 @@ SELECT f.id, n.name, n.file_path, f.score, CAST(lr.rank AS INTEGER) AS lexical_r
 WHERE {intent_sql('n.file_path')} NOT IN ('test', 'fixture', 'bench', 'generated') ORDER BY f.score DESC, n.name, n.file_path, f.id LIMIT 20""")
 def t12_hybrid(spark, d):
     n, v = nodes(spark, d, _TEXT), usable_vectors(spark, d)
-    words = S.ranked(S.bm25(S.build_index(n), ASK, 60))
+    words = S.ranked(S.bm25(_index(spark, d), ASK, 60))
     return S.hybrid(n, words, S.ranked(S.vector_top(v, _first_vector(v), 60)), 20)
 
 
@@ -126,7 +133,7 @@ def t12_hybrid(spark, d):
 SELECT repo, id, round(1.0 / CAST(60 + k AS DOUBLE), 9) AS score FROM r WHERE k <= 20 ORDER BY score DESC, repo, id LIMIT 20""")
 def t18_federated(spark, d):
     n = nodes(spark, d, [*_TEXT, "repo"])
-    return S.federated(S.bm25(S.build_index(n), ASK, None).join(n.select("id", "repo"), "id").select("repo", "id", "score"), 20)
+    return S.federated(S.bm25(_index(spark, d), ASK, None).join(n.select("id", "repo"), "id").select("repo", "id", "score"), 20)
 
 
 @_register("""SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE CAST(ceil((len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE) + length(text) * CAST(0.25 AS DOUBLE)) / 2) AS INTEGER) END AS n FROM documents""")
