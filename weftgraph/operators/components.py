@@ -1,7 +1,7 @@
 """Cycles and order: strongly connected components, topological layers, linearisation.
 
 Components by forward and backward labels. Nodes without an incoming or outgoing step inside the open part
-cannot be on a cycle and are trimmed first, round by round; then every open node takes the least label that
+cannot be on a cycle and are trimmed twice; then every open node takes the least label that
 reaches it forward and the least that reaches it backward; nodes whose two labels agree form the component of
 that label. The rest continues. Each round closes at least the component of the least open node.
 """
@@ -25,17 +25,26 @@ def _trim(steps: DataFrame) -> DataFrame:
 
 
 def _spread(ids: DataFrame, steps: DataFrame, stash: Stash) -> DataFrame:
-    """``id, fore, back``: the least id that reaches a node, and the least it reaches. Both directions travel in
-    one join; several rounds run between two writes, a write without a change ends the loop."""
+    """``id, fore, back``: the least id that reaches a node, and the least it reaches. Both directions travel in one
+    join, and every label is also replaced by the label of the node it names: what reaches that node reaches this one.
+    So labels jump over the ways they have been before, and rounds grow with the logarithm of most distances rather
+    than with the distance. A round without a change ends the loop."""
     ways = stash.put(steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("f")).unionByName(steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("f"))), "ways")
     labels = stash.put(ids.select("id", F.col("id").alias("fore"), F.col("id").alias("back")), "labels")
+    nothing = F.lit(None).cast(dict(labels.dtypes)["fore"])
+
+    def better(now: DataFrame) -> DataFrame:
+        told = now.select(F.col("id").alias("a"), "fore", "back")
+        by_step = ways.join(told, "a").select(F.col("b").alias("id"), F.when(F.col("f"), F.col("fore")).alias("f"), F.when(~F.col("f"), F.col("back")).alias("b"))
+        named = F.explode(F.array(F.struct(F.lit(True).alias("f"), F.col("fore").alias("a")), F.struct(F.lit(False).alias("f"), F.col("back").alias("a"))))
+        by_jump = now.select("id", named.alias("j")).where(F.col("j.a") != F.col("id")).select("id", "j.f", "j.a").join(told, "a").select("id", F.when(F.col("f"), F.col("fore")).alias("f"), F.when(~F.col("f"), F.col("back")).alias("b"))
+        own = now.select("id", F.col("fore").alias("f"), F.col("back").alias("b"), "__f0", "__b0")
+        whole = own.unionByName(by_step.unionByName(by_jump).withColumn("__f0", nothing).withColumn("__b0", nothing))
+        return whole.groupBy("id").agg(F.min("f").alias("fore"), F.min("b").alias("back"), F.max("__f0").alias("__f0"), F.max("__b0").alias("__b0"))
+
     changed = 1
     while changed:
-        nxt = labels.withColumn("__f0", F.col("fore")).withColumn("__b0", F.col("back"))
-        for _ in range(_BATCH):
-            sent = ways.join(nxt.select(F.col("id").alias("a"), "fore", "back"), "a")
-            offer = sent.groupBy(F.col("b").alias("__d")).agg(F.min(F.when(F.col("f"), F.col("fore"))).alias("__f"), F.min(F.when(~F.col("f"), F.col("back"))).alias("__b"))
-            nxt = nxt.join(offer, F.col("id") == F.col("__d"), "left").select("id", F.least("fore", "__f").alias("fore"), F.least("back", "__b").alias("back"), "__f0", "__b0")
+        nxt = better(labels.withColumn("__f0", F.col("fore")).withColumn("__b0", F.col("back")))
         seen = Observation()
         moved = ((F.col("fore") != F.col("__f0")) | (F.col("back") != F.col("__b0"))).cast("int")
         labels = stash.put(nxt.observe(seen, F.coalesce(F.sum(moved), F.lit(0)).alias("n")).select("id", "fore", "back"), "labels")
@@ -50,12 +59,9 @@ def strong_components(steps: DataFrame) -> DataFrame:
     open_ = stash.put(steps.where((F.col("src") != F.col("dst")) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "open")
     n, done, rounds = open_.count(), None, 0
     while n:
-        before = -1
-        while n and n != before:
-            before = n
-            seen = Observation()
-            open_ = stash.put(_trim(_trim(open_)).observe(seen, F.count("*").alias("n")), "open")
-            n = seen.get["n"]
+        seen = Observation()
+        open_ = stash.put(_trim(_trim(open_)).observe(seen, F.count("*").alias("n")), "open")
+        n = seen.get["n"]
         if not n:
             break
         ids = open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text as T
 from weftgraph.operators.lookup import degree, zero
 from weftgraph.operators.reach import closure_sizes, closure_sizes_sketched, reach, risk, steps_of
+from weftgraph.session import Stash
 
 #: Deprecated interfaces known by name, and what to say about them.
 DEPRECATED_APIS = {
@@ -101,10 +102,19 @@ def orphan_paths(nodes: DataFrame, edges: DataFrame, scope: str = ".", limit: in
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame, scope: str = ".", hops: int = 5, limit: int = 5, sketched: bool = False) -> DataFrame:
-    """``id, blast_radius``: nodes with the most transitive callers and importers. The exact form holds every pair of
-    node and caller; ``sketched`` estimates the sizes in one pass over the edges per hop."""
-    sizes = (closure_sizes_sketched if sketched else closure_sizes)(nodes.where(in_scope(scope)).select("id"), steps_of(edges, ["calls", "imports"], "in"), hops)
-    return sizes.select("id", F.col("n").alias("blast_radius")).orderBy(F.desc("blast_radius"), "id").limit(limit)
+    """``id, blast_radius``: nodes with the most transitive callers and importers.
+
+    All sizes are first estimated by sketches, one pass over the edges per hop. The exact form then counts only nodes
+    whose estimate, at ten times its standard error, could belong to the ``limit`` largest; ``sketched`` returns the
+    estimates (relative standard error 1.6 %)."""
+    steps = steps_of(edges, ["calls", "imports"], "in")
+    sizes = Stash(nodes.sparkSession, "hotspots").put(closure_sizes_sketched(nodes.where(in_scope(scope)).select("id"), steps, hops), "sizes")
+    top = sizes.orderBy(F.desc("n"), "id").limit(limit)
+    if not sketched:
+        least = top.agg(F.min("n").alias("least"))
+        near = sizes.crossJoin(F.broadcast(least)).where(F.col("n") + 1 >= (F.col("least") - 1) * 0.72)  # least: one row
+        top = closure_sizes(near.select("id"), steps, hops)
+    return top.select("id", F.col("n").cast("long").alias("blast_radius")).orderBy(F.desc("blast_radius"), "id").limit(limit)
 
 
 def scoped_score(n: Column, dead: Column, cycles: Column, gods: Column, orphans: Column) -> Column:

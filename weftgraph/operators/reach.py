@@ -17,12 +17,13 @@ from weftgraph.session import Stash
 
 
 def steps_of(edges: DataFrame, kinds: list[str] | None = None, direction: str = "out") -> DataFrame:
-    """``src, dst``: one step per edge and allowed direction ('out', 'in' or 'both')."""
+    """``src, dst``: one step per edge and allowed direction ('out', 'in' or 'both'). Edges of several kinds may give
+    a step several times; whoever walks steps takes nodes once."""
     e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
     out = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     back = e.select(F.col("target").alias("src"), F.col("source").alias("dst"))
     chosen = {"out": out, "in": back}.get(direction)
-    return (out.union(back) if chosen is None else chosen).distinct()
+    return out.union(back) if chosen is None else chosen
 
 
 def reach(seeds: DataFrame, steps: DataFrame, hops: int | None, keys: list[str] | None = None, alive: DataFrame | None = None) -> DataFrame:
@@ -31,7 +32,7 @@ def reach(seeds: DataFrame, steps: DataFrame, hops: int | None, keys: list[str]
     ``alive`` (column id) limits the nodes that are entered."""
     stash = Stash(seeds.sparkSession, "reach")
     keys = keys or []
-    steps = stash.put(steps.select("src", "dst"), "steps")
+    steps = steps.select("src", "dst")
     seen = Observation()
     level = seeds.where(F.col("id").isNotNull()).select(*keys, "id").distinct()
     level = stash.put(level.observe(seen, F.count("*").alias("n")), "level-0")
