@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import GRAPH_SQL, edges, nodes
+from weftgraph.graph import GRAPH_SQL, edges, meta_sql, nodes
 from weftgraph.operators import ingest as I
 from weftgraph.operators import security as X
 from weftgraph.sources import scan as C
@@ -199,7 +199,17 @@ def d10_findings(spark, d):
     return X.findings(_signals(spark, d)).select("path", "line", "type", "sink", "severity", "cwe")
 
 
-@_register(f"""WITH {GRAPH_SQL} SELECT id, 'XSS' AS type, 'HIGH' AS severity, name AS symbol FROM nodes WHERE kind IN ('function', 'method', 'file') AND regexp_matches(name, '(?i)innerHTML|outerHTML|document\\.write|insertAdjacentHTML')""")
+_HITS = " UNION ALL ".join(
+    f"SELECT id, file_path, start_line, ord, '{t}' AS type, '{s}' AS severity, name AS symbol FROM nodes WHERE kind IN ('function', 'method', 'file') AND regexp_matches(name, '{X.NAME_SINKS[t]}') AND ({c})"
+    for t, s, c in [
+        ("SQL_INJECTION", "MEDIUM", f"id IN (SELECT target FROM edges WHERE kind = 'calls') OR {meta_sql('hasStringConcatenation')} = 'true'"), ("XSS", "HIGH", "true"),
+        *[(t, "HIGH", f"{meta_sql(k)} = 'true'") for t, k in (("SSRF", "dynamicUrl"), ("PATH_TRAVERSAL", "dynamicPath"), ("COMMAND_INJECTION", "dynamicArgs"))],
+    ]
+)
+
+
+@_register(f"""WITH {GRAPH_SQL}, hits AS ({_HITS} UNION ALL SELECT n.id, n.file_path, n.start_line, n.ord, 'XSS', 'HIGH', n.name FROM nodes n WHERE n.id IN (SELECT e.source FROM edges e JOIN nodes t ON t.id = e.target WHERE e.kind = 'calls' AND regexp_matches(t.name, '{X.NAME_SINKS["XSS"]}')))
+SELECT min(id) AS id, type, min(severity) AS severity, symbol FROM hits GROUP BY type, file_path, start_line, symbol""")
 def d11_name_findings(spark, d):
     return X.name_findings(nodes(spark, d, ["id", "ord", "kind", "name", "file_path", "start_line", "metadata"]), edges(spark, d, ["calls"])).select("id", "type", "severity", "symbol")
 
