@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import parsing as P
+from weftgraph.llm import gll
 from weftgraph.llm.gll import Grammar
 from weftgraph.llm.grammars import language
 
@@ -109,3 +110,15 @@ def test_verdicts(spark):
     assert {r.id: (r.language, r.ok) for r in v.collect()} == {"a": ("python", True), "b": ("javascript", False), "c": ("perl", None), "d": ("go", None)}
     assert {(r.language, r.n_files, r.n_bad, r.rate) for r in P.rates(v).collect()} == {("python", 1, 0, 0.0), ("javascript", 1, 1, 1.0)}
     assert P.verdicts(df.where("false")).collect() == [] and P.rates(P.verdicts(df.where("false"))).collect() == []
+
+
+def test_tables_are_renewed_within_a_text():
+    g = Grammar("text = item item* ; item = '(' text ')' | '(' ')' | 'x' ;", ["text"])
+    small = Grammar("text = item item* ; item = '(' text ')' | '(' ')' | 'x' ;", ["text"])
+    small.most = 10
+    a, b, x = (g.term(t) for t in "()x")
+    deep = [a] * 9000 + [x] + [b] * 9000
+    for tokens in (deep, deep[:-1], deep + [b], [a, b, x] * 5000, [a] * 5000, [x] * 9000 + [b]):
+        assert g.accepts(tokens) == small.accepts(tokens)
+        assert len(small.rows) <= 2 * gll.RENEW + 10
+    assert g.accepts(deep) and not g.accepts(deep[:-1])

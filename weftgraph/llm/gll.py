@@ -5,7 +5,8 @@ stack node) of the current position at once; all calls of a nonterminal at a pos
 many return edges, so ambiguous grammars and several dialects run together at no extra cost. Stack nodes are
 immutable and interned without their position: two positions, in the same file or in another, with the same
 descriptors are the same configuration. The step from a configuration by a token is therefore computed once per
-worker and looked up afterwards; the automaton of configurations is grown by the data and thrown away when it
+worker and looked up afterwards; the automaton of configurations is grown by the data and thrown away, also within a
+text and then but for what the present configuration stands on, when it
 exceeds ``MOST`` entries.
 
 Grammars must not be left-recursive and no nonterminal but the start may be empty; both are checked.
@@ -18,13 +19,15 @@ from __future__ import annotations
 import re
 
 MOST = 150_000
+#: Tokens between two looks at the size of the tables.
+RENEW = 4096
 _PIECE = re.compile(r"\s*(?:([a-z_]\w*)|([A-Z]\w*)|'((?:\\.|[^'\\])+)'|([=|;()*+?]))")
 
 
 class Row(dict):
     """A configuration; as a dict it holds the steps computed so far."""
 
-    __slots__ = ("grammar", "moves", "accepts")
+    __slots__ = ("grammar", "moves", "accepts", "kernel")
 
     def __missing__(self, token: int) -> Row:
         items = self.moves.get(token)
@@ -47,7 +50,7 @@ class Grammar:
         self.soft = {self.terms[w] for w in words - set(hard)}
         self._flatten()
         self._check(starts)
-        self.starts = starts
+        self.starts, self.most = starts, MOST
         self._reset()
 
     # grammar text to automata
@@ -171,15 +174,31 @@ class Grammar:
         self.node_ids: dict[tuple[str, frozenset], int] = {}
         self.rows: dict[frozenset, Row] = {}
         self.dead = Row()
-        self.dead.grammar, self.dead.moves, self.dead.accepts = self, {}, False
+        self.dead.grammar, self.dead.moves, self.dead.accepts, self.dead.kernel = self, {}, False, frozenset()
         self.start = self.row(frozenset((self.rule_start[s], 0) for s in self.starts))
 
     def begin(self) -> Row:
         """The configuration before the first token."""
-        if len(self.rows) > MOST:
+        if len(self.rows) > self.most:
             self._reset()
         return self.start
 
+    def _renew(self, row: Row) -> Row:
+        """Empty tables but for what ``row`` stands on: its part of the graph-structured stack, numbered anew. Parents
+        have smaller numbers than the nodes above them, so one pass in their order rebuilds it."""
+        names = {n: key[0] for key, n in self.node_ids.items()}
+        old, todo, used = self.nodes, [n for _, n in row.kernel], {0}
+        while todo:
+            n = todo.pop()
+            if n not in used and n > 0:
+                used.add(n)
+                todo += [p for _, p in old[n]]
+        self._reset()
+        new = {0: 0, -1: -1}
+        for n in sorted(used - {0}):
+            new[n] = self._node(names[n], frozenset((s, new[p]) for s, p in old[n]))
+        return self.row(frozenset((s, new[n]) for s, n in row.kernel))
+
     def _node(self, name: str, edges: frozenset[tuple[int, int]]) -> int:
         key = (name, edges)
         known = self.node_ids.get(key)
@@ -193,7 +212,7 @@ class Grammar:
         if known is not None:
             return known
         row = Row()
-        row.grammar, row.accepts = self, False
+        row.grammar, row.accepts, row.kernel = self, False, kernel
         moves: dict[int, set[tuple[int, int]]] = {}
         callers: dict[str, set] = {}
         todo, seen = list(kernel), set(kernel)
@@ -242,6 +261,9 @@ class Grammar:
 
     def accepts(self, tokens: list[int]) -> bool:
         row = self.begin()
-        for t in tokens:
-            row = row[t]
+        for i in range(0, len(tokens), RENEW):
+            for t in tokens[i : i + RENEW]:
+                row = row[t]
+            if len(self.rows) > self.most and row is not self.dead:
+                row = self._renew(row)
         return row.accepts

@@ -3,7 +3,7 @@
 Each source gets a budget of tokens. It is used whole as often as fits; the rest of the budget is the documents
 whose hash lies below a threshold, so a larger budget always contains a smaller one. The threshold is found
 without sorting: tokens are summed by source and the top bits of the hash, the bucket in which the running sum
-passes the budget is split by the next bits, and only that bucket is looked at again. Four rounds resolve 48
+passes the budget is split by the next bits, and only that bucket, written apart, is looked at again. Four rounds resolve 48
 bits, at most 4096 sums per source and round.
 
 Total size. By default the largest total at which every usable source reaches its share within its repeats; a
@@ -46,10 +46,14 @@ def plan_mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     plan = stash.put(plan.withColumn("rest", F.col("budget") - F.col("full") * F.col("available")), "plan")
 
     open_ = plan.where(F.col("rest") > 0).select("source", F.col("rest").alias("__rest"), F.lit(0).cast("long").alias("__at"))
+    rows = sized
     for r in range(1, _ROUNDS + 1):
         shift = bits - _ROUND * r
         bucket = F.shiftright("__h", shift)
-        inside = sized.join(open_, "source").where(F.shiftright("__h", shift + _ROUND) == F.col("__at"))
+        inside = rows.join(open_, "source").where(F.shiftright("__h", shift + _ROUND) == F.col("__at"))
+        if r > 1:  # about one row in 4096 of the round before
+            rows = stash.put(inside.select("source", "tokens", "__h"), f"bucket-{r}")
+            inside = rows.join(open_, "source")
         hist = inside.groupBy("source", "__rest", bucket.alias("__b")).agg(F.sum("tokens").alias("__n"))
         upto = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         first = F.min(F.when(F.col("__cum") > F.col("__rest"), F.struct(F.col("__b"), (F.col("__rest") - F.col("__cum") + F.col("__n")).alias("left"))))
