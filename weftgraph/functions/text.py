@@ -75,3 +75,16 @@ def decision_points(text: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def uri_encode(text: Column) -> Column:
+    """Percent encoding of a URI component: all but letters, digits and ``-_.!~*'()``."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def uri_decode(text: Column) -> Column:
+    """The text of a URI component; null where an escape is broken."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

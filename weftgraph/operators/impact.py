@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.graph import first_named
 from weftgraph.operators.reach import reach, risk, steps_of
+from weftgraph.session import Stash
 
 _LINES = "file string, line long"
 #: Suggested cases by what a name says.
@@ -90,18 +91,29 @@ def files_to_review(nodes: DataFrame, impacted: DataFrame, top: int = 5) -> Data
     return impacted.join(nodes.select("id", "file_path"), "id").groupBy("file_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_path").limit(top)
 
 
-def call_paths(nodes: DataFrame, edges: DataFrame, name: str, hops: int = 3, limit: int = 5) -> DataFrame:
-    """``n, path``: chains of callers that end at the symbol, cut at ``hops`` callers or where nobody calls."""
+def call_paths_of(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int = 3, limit: int = 5) -> DataFrame:
+    """``symbol, n, path``: for each of ``starts`` (symbol, id, name) the first ``limit`` chains of callers that end at
+    it, shorter ones first, cut at ``hops`` callers or where nobody calls. Chains that end early come before all longer
+    ones, so a symbol that has ``limit`` of them is not followed further."""
     calls = edges.where(F.col("kind") == "calls").join(nodes.select(F.col("id").alias("source"), F.col("name").alias("caller")), "source").select("source", "target", "caller", "ord")
-    front = first_named(nodes, name).select(F.col("id").alias("at"), F.array("name").alias("path"), F.array().cast("array<bigint>").alias("order"))
+    stash = Stash(nodes.sparkSession, "callers")
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("n", "order"))
+    front = starts.select("symbol", F.col("id").alias("at"), F.array("name").alias("path"), F.array().cast("array<bigint>").alias("order"))
     done = None
     for h in range(1, hops + 1):
-        nxt = front.join(calls, F.col("at") == F.col("target"), "left")
-        ends = nxt.where(F.col("source").isNull() & (F.size("path") > 1)).select((F.size("path") - 1).alias("n"), "path", "order")
-        front = nxt.where(F.col("source").isNotNull()).select(F.col("source").alias("at"), F.concat(F.array("caller"), "path").alias("path"), F.concat("order", F.array("ord")).alias("order"))
-        done = ends if done is None else done.unionByName(ends)
-    done = done.unionByName(front.select((F.size("path") - 1).alias("n"), "path", "order"))
-    return done.orderBy("n", "order").limit(limit).select("n", F.array_join("path", " > ").alias("path"))
+        nxt = stash.put(front.join(calls, F.col("at") == F.col("target"), "left"), f"hop-{h}")
+        ends = nxt.where(F.col("source").isNull() & (F.size("path") > 1)).select("symbol", (F.size("path") - 1).alias("n"), "path", "order")
+        front = nxt.where(F.col("source").isNotNull()).select("symbol", F.col("source").alias("at"), F.concat(F.array("caller"), "path").alias("path"), F.concat("order", F.array("ord")).alias("order"))
+        done = stash.put((ends if done is None else done.unionByName(ends)).withColumn("r", first).where(F.col("r") <= limit).drop("r"), f"ends-{h}")
+        front = front.join(done.groupBy("symbol").count().where(F.col("count") >= limit), "symbol", "left_anti")
+    whole = done.unionByName(front.select("symbol", (F.size("path") - 1).alias("n"), "path", "order"))
+    return whole.withColumn("r", first).where(F.col("r") <= limit).select("symbol", "n", F.array_join("path", " > ").alias("path"), "r")
+
+
+def call_paths(nodes: DataFrame, edges: DataFrame, name: str, hops: int = 3, limit: int = 5) -> DataFrame:
+    """``n, path``: the chains of one symbol, see ``call_paths_of``."""
+    starts = first_named(nodes, name).select(F.lit(name).alias("symbol"), "id", "name")
+    return call_paths_of(nodes, edges, starts, hops, limit).orderBy("r").select("n", "path")
 
 
 def existing_tests(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -204,5 +216,8 @@ def change_context(nodes: DataFrame, edges: DataFrame, files: list[str], hops: i
     paths = list(dict.fromkeys(re.sub(r"^\./", "", f.replace("\\", "/")) for f in files if f))
     changed, impacted = pr_impact(nodes, edges, paths, min(hops, 10))
     names = [r.name for r in changed.orderBy(F.desc("n_affected"), "id").limit(MAX_SEEDS).collect()]
-    tests = {n: [r.path for r in call_paths(nodes, edges, n).collect()] for n in names}
+    starts = nodes.where(F.col("name").isin(names)).groupBy(F.col("name").alias("symbol")).agg(F.min(F.struct("ord", "id")).alias("f")).select("symbol", F.col("f.id").alias("id"), F.col("symbol").alias("name"))
+    tests: dict[str, list[str]] = {n: [] for n in names}
+    for r in call_paths_of(nodes, edges, starts).orderBy("symbol", "r").collect():  # at most five chains of ten symbols
+        tests[r.symbol].append(r.path)
     return {"changed": changed, "impacted": impacted, "context": context_document(nodes, edges, names, question), "tests": tests}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import text as T
 from weftgraph.graph import GRAPH_SQL, edges, first_named, meta, meta_sql, nodes
 from weftgraph.operators import lookup as L
 from weftgraph.operators import reach as R
@@ -127,7 +128,11 @@ def g10_impact(spark, d):
     return L.blast_radius(nodes(spark, d, _SLIM), edges(spark, d, _CALLS_IMPORTS), HUB, "in", 5)
 
 
-@_register(None)
+@_register(f"""WITH RECURSIVE {GRAPH_SQL}, goal AS ({_named(HUB)}),
+back AS (SELECT id, 0 AS d FROM goal UNION SELECT e.source, b.d + 1 FROM back b JOIN edges e ON e.target = b.id WHERE b.d < 5), near AS (SELECT id, min(d) AS d FROM back GROUP BY 1),
+w AS (SELECT id AS cur, [id] AS path, CAST([] AS BIGINT[]) AS o, 0 AS h, CAST(NULL AS VARCHAR) AS last_kind FROM ({_named('all.ts')})
+ UNION ALL SELECT e.target, list_append(w.path, e.target), list_append(w.o, e.ord), w.h + 1, e.kind FROM w JOIN edges e ON e.source = w.cur JOIN near n ON n.id = e.target WHERE w.h < 5 AND n.d <= 4 - w.h AND NOT list_contains(w.path, e.target) AND w.cur NOT IN (SELECT id FROM goal))
+SELECT h AS n, array_to_string(path, ' > ') AS path, last_kind FROM (SELECT * FROM w WHERE h > 0 AND cur IN (SELECT id FROM goal) ORDER BY h, o LIMIT 10)""")
 def g4_relationship_paths(spark, d):
     n = nodes(spark, d, _SLIM)
     return R.all_paths(first_named(n, "all.ts").select("id"), first_named(n, HUB).select("id"), edges(spark, d), hops=5, limit=10).select("n", F.concat_ws(" > ", "path").alias("path"), "last_kind")
@@ -227,3 +232,15 @@ def s13_cache_warm(spark, d):
 @_register(f"""WITH {GRAPH_SQL}, hit AS (SELECT * FROM nodes WHERE name = '{HUB}') SELECT h.id, h.kind, (SELECT count(*) FROM edges WHERE source = h.id) AS n_out, (SELECT count(*) FROM edges WHERE target = h.id) AS n_in FROM hit h""")
 def q16_legacy(spark, d):
     return gql.legacy(f"MATCH (n) WHERE n.name = '{HUB}' RETURN n", nodes(spark, d, _SLIM), edges(spark, d)).select("id", "kind", "n_out", "n_in")
+
+
+_EXTRA = [("!", "%21"), ("''", "%27"), ("(", "%28"), (")", "%29"), ("*", "%2A")]
+_ENCODED = "url_encode(file_path)"
+for _c, _x in _EXTRA:
+    _ENCODED = f"replace({_ENCODED}, '{_x}', '{_c}')"
+
+
+@_register(f"WITH {GRAPH_SQL} SELECT DISTINCT {_ENCODED} AS encoded, file_path AS decoded FROM nodes WHERE file_path IS NOT NULL")
+def x14_uri_components(spark, d):
+    encoded = T.uri_encode(F.col("file_path"))
+    return nodes(spark, d, ["id", "file_path"]).where("file_path is not null").select(encoded.alias("encoded"), T.uri_decode(encoded).alias("decoded")).distinct()

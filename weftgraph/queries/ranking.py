@@ -226,7 +226,9 @@ def g11_detect_changes(spark, d):
     return I.detect_changes(nodes(spark, d, ["id", "ord", "file_path", "start_line", "end_line"]), edges(spark, d, ["calls", "imports"]), I.diff_lines(spark, DIFF))
 
 
-@_register(None)
+@_register(f"""WITH RECURSIVE {GRAPH_SQL}, c AS (SELECT e.source, e.target, n.name AS caller, e.ord FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'calls'),
+w AS (SELECT id AS cur, ['padCell'] AS path, CAST([] AS BIGINT[]) AS o, 0 AS h FROM ({_named('padCell')}) UNION ALL SELECT c.source, list_prepend(c.caller, w.path), list_append(w.o, c.ord), w.h + 1 FROM w JOIN c ON c.target = w.cur WHERE w.h < 3)
+SELECT h AS n, array_to_string(path, ' > ') AS path FROM (SELECT * FROM w WHERE h = 3 OR (h > 0 AND cur NOT IN (SELECT target FROM c)) ORDER BY h, o LIMIT 5)""")
 def g16_call_paths(spark, d):
     return I.call_paths(nodes(spark, d, ["id", "ord", "name"]), edges(spark, d, ["calls"]), "padCell")
 
