@@ -240,4 +240,5 @@ def scoped_report(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, scope:
 def callers_matching(nodes: DataFrame, edges: DataFrame, pattern: str = r"(?i)(req|request|params|query|body|input|user)") -> DataFrame:
     """``id`` of nodes with a transitive caller, at any distance, whose name matches."""
     seeds = nodes.where(F.col("name").rlike(pattern)).select("id")
-    return reach(seeds, steps_of(edges, ["calls"], "out"), None).where(F.col("depth") > 0).select("id")
+    steps = steps_of(edges, ["calls"], "out")
+    return steps.join(reach(seeds, steps, None).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()

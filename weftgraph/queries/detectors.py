@@ -56,7 +56,7 @@ def c1_import_cycles(spark, d):
     return _import_cycles(spark, d)
 
 
-@_register(None)
+@_register(f"WITH RECURSIVE {GRAPH_SQL}, {_SCC.format(kind='calls', extra='')} SELECT id, component, size FROM comp")
 def c1_call_cycles(spark, d):
     return C.strong_components(steps_of(edges(spark, d, ["calls"])))
 
@@ -214,6 +214,21 @@ def f2_entry_points_library(spark, d):
     return W.entry_points(nodes(spark, d, _SLIM), edges(spark, d, ["calls"]), library=True).select("id", "score")
 
 
+@_register(f"""WITH RECURSIVE {GRAPH_SQL}, {_SCC.format(kind='imports', extra=_FILES)}, ends AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), s AS (SELECT * FROM nodes WHERE contains(file_path, 'quarry-core')),
+k AS (SELECT (SELECT count(*) FROM s) AS n_nodes, (SELECT count(*) FROM (SELECT 1 FROM s WHERE NOT coalesce(exported, false) AND kind IN ('function', 'method', 'class') AND id NOT IN (SELECT target FROM edges) LIMIT 20)) AS n_dead,
+ (SELECT count(*) FROM (SELECT s.id FROM s JOIN edges e ON e.source = s.id GROUP BY 1 HAVING count(*) > 10 LIMIT 10)) AS n_god, (SELECT count(*) FROM (SELECT file_path FROM s GROUP BY 1 HAVING NOT bool_or(id IN (SELECT id FROM ends)) LIMIT 10)) AS n_orphan, least(5, (SELECT count(DISTINCT component) FROM comp)) AS n_cycles)
+SELECT *, round(greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), 100 - CAST(100 AS DOUBLE) * (2 * n_dead + 5 * n_cycles + 3 * n_god + n_orphan) / greatest(n_nodes, 1))), 6) AS score FROM k""")
+def r5_scoped_report(spark, d):
+    """Counts and score of one repo."""
+    return D.scoped_report(nodes(spark, d, _SLIM), edges(spark, d), C.cycle_count(_import_cycles(spark, d)), "quarry-core")
+
+
+@_register(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT id FROM nodes WHERE regexp_matches(name, '(?i)(req|request|params|query|body|input|user)') UNION SELECT e.target FROM r JOIN edges e ON e.source = r.id AND e.kind = 'calls')
+SELECT DISTINCT e.target AS id FROM r JOIN edges e ON e.source = r.id AND e.kind = 'calls'""")
+def g15_callers_matching(spark, d):
+    return D.callers_matching(nodes(spark, d, ["id", "name"]), edges(spark, d, ["calls"]))
+
+
 @_register(None)
 def f3_flows(spark, d):
     return W.trace_flows(nodes(spark, d, _SLIM), edges(spark, d, ["calls"]))
