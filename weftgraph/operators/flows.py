@@ -88,7 +88,7 @@ def trace_flows(nodes: DataFrame, edges: DataFrame, top: int = 20, depth: int =
                 if not any(len(pairs & k) > dedup * max(1, len(pairs)) for _, k in kept):
                     kept.append((path, pairs))
             found = [p for p, _ in kept]
-        return pd.DataFrame({"entry": entry, "place": place, "n": range(len(found)), "steps": found})
+        return pd.DataFrame({"entry": entry, "place": place, "n": range(len(found)), "steps": pd.Series(found, dtype=object)})
 
     flows = sub.groupBy("entry").applyInPandas(trace, "entry string, place int, n int, steps array<string>")
     return flows.withColumn("flow", F.row_number().over(Window.orderBy("place", "n"))).where(F.col("flow") <= most).select("entry", "flow", "steps")

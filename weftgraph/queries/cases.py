@@ -12,6 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.graph import edges, nodes
+from weftgraph.operators import security
 from weftgraph.queries import detectors, graph, ingestion, ranking
 from weftgraph.session import shared_dir
 from weftgraph.sources.folder import Folder
@@ -31,6 +33,10 @@ _NODES = [
     _n("method", "close", "src/fast.ts", 10, 12), _n("method", "open", "src/fast.ts", 13, 15), _n("function", "unusedHelper", "src/util.ts", 3, 5), _n("function", "oldSend", "src/mail.ts", 1, 4, True, None, {"jsdoc": "@deprecated use send"}),
     _n("function", "older", "src/mail.ts", 6, 8, True, None, {"deprecated": "true"}), _n("function", "setInnerHTML", "src/view.ts", 1, 5, True), _n("function", "lonely", "src/lonely.ts", 1, 2), _n("function", "send", "src/mail.ts", 10, 20, True),
     _n("function", "emitEvent", "src/bus.ts", 1, 5, True), _n("function", "db.query", "src/db.ts", 1, 3, True), _n("function", "fetch", "src/net.ts", 1, 3, True, None, {"dynamicUrl": "true"}), _n("function", "exec", "src/net.ts", 4, 6, True), _n("function", "pool.execute", "src/db.ts", 5, 7, True), _n("file", "lonely.ts", "src/lonely.ts", exported=None),
+    _n("file", "base.ts", "src/base.ts", exported=None, content="export class Base {\n}\nexport interface Port {\n}\nexport function helper() {\n}\n"), _n("file", "util.ts", "src/util.ts", exported=None, content="export function pad() {\n}\nexport function helper() {\n}\n"),
+    _n("file", "impl.ts", "src/impl.ts", exported=None, content="import { Base as B, helper } from './base';\nimport * as util from './util';\nexport class Impl extends Base implements Port {\n}\nexport function start() {\n  helper();\n  util.pad();\n  log('pad()');\n}\n"),
+    _n("file", "job.py", "src/job.py", exported=None, content='class Job:\n    """Runs."""\n\n    @once\n    def run(self, n: int = 1, *rest) -> int:\n        return n\n'),
+    _n("file", "api.ts", "src/api.ts", exported=None, content="const q = 'select 1';\nfetch(req.query.url);\nfetch('https://a.example');\ndb.query('select ' + req.body.id);\ndb.query('select ?', [id]);\ndb.query(q);\nexec('ls ' + name);\nbox.innerHTML = clean(DOMPurify.sanitize(req.body.text));\n"),
 ]
 _ID = {(n[4].rsplit("/", 1)[-1], n[3]): n[1] for n in _NODES}
 
@@ -86,11 +92,54 @@ def _case(query):
     return run
 
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-for _module, _names in ((graph, ["g5_shared_imports"]), (detectors, ["h3_god_classes", "r1_dead_scoped", "r3_orphan_paths", "d3_deprecated", "d17_overrides"]), (ingestion, ["d11_name_findings"]), (ranking, ["i17_contract_links"])):
-    for _name in _names:
-        QUERIES[f"{_name}_case"] = _case(_module.QUERIES[_name])
-        _head, _rest = _module.SQL[_name].split(" ", 1)
-        _recursive = "RECURSIVE " if _rest.startswith("RECURSIVE ") else ""
-        SQL[f"{_name}_case"] = f"WITH {_recursive}{_TABLES}, {_rest.removeprefix('RECURSIVE ')}"
+def _own_sql(sql: str) -> str:
+    _, rest = sql.split(" ", 1)
+    recursive = "RECURSIVE " if rest.startswith("RECURSIVE ") else ""
+    return f"WITH {recursive}{_TABLES}, {rest.removeprefix('RECURSIVE ')}"
+
+
+def _rows(columns: str, *rows: tuple) -> str:
+    """SQL of rows written by hand."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return security.name_findings(nodes(spark, d, ["id", "ord", "kind", "name", "file_path", "start_line", "metadata"]), edges(spark, d, ["calls"]))
+
+
+def _vulnerabilities(spark: SparkSession, d: str) -> DataFrame:
+    return security.materialise(_found(spark, d))[0].select("id", "name", "severity")
+
+
+def _severe(spark: SparkSession, d: str) -> DataFrame:
+    return security.at_least(_found(spark, d), "HIGH").select("id", "type")
+
+
+def _flows(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.QUERIES["f3_flows"](spark, d).select("entry", "flow", F.concat_ws(" > ", "steps").alias("steps"))
+
+
+_SAME = [(graph, ["g5_shared_imports"]), (detectors, ["h3_god_classes", "r1_dead_scoped", "r3_orphan_paths", "d3_deprecated", "d17_overrides"]), (ingestion, ["d11_name_findings"]), (ranking, ["i17_contract_links"])]
+QUERIES: dict = {f"{n}_case": _case(m.QUERIES[n]) for m, names in _SAME for n in names}
+SQL: dict[str, str] = {f"{n}_case": _own_sql(m.SQL[n]) for m, names in _SAME for n in names}
+
+_FN = "function:r/src/"
+QUERIES |= {f"{n}_case": _case(ingestion.QUERIES[n]) for n in ("i1_signatures", "i4_imports", "i7_calls", "i8_heritage", "i9_tiered_calls", "i11_bindings", "d10_findings")}
+QUERIES |= {"d14_vulnerabilities_case": _case(_vulnerabilities), "d15_severe_case": _case(_severe), "f3_flows_case": _case(_flows), "f5_flow_steps_case": _case(detectors.QUERIES["f5_flow_steps"])}
+_FLOW = f"{_FN}util.ts:unusedHelper", f"{_FN}mail.ts:send"
+SQL |= {
+    "i1_signatures_case": _rows(
+        "repo, path, kind, name, qualified, start_line, end_line, parameters, returns, doc, decorators",
+        ("r", "r/src/job.py", "class", "Job", "Job", 1, 6, None, None, "Runs.", ""), ("r", "r/src/job.py", "method", "run", "Job.run", 5, 6, "self, n, *rest", "int", None, "once"),
+    ),
+    "i4_imports_case": _rows("repo, path, target, name", *[("r", f"r/src/{a}.ts", f"r/src/{b}.ts", n) for a, b, n in (("all", "mail", "./mail.js"), ("index", "mail", "./mail.js"), ("impl", "base", "./base"), ("impl", "util", "./util"))]),
+    "i7_calls_case": "SELECT source, kind, target, CAST(weight AS DOUBLE) AS weight FROM (" + _rows("source, kind, target, weight", (f"{_FN}impl.ts:start", "calls", f"{_FN}util.ts:helper", "0.5"), (f"{_FN}impl.ts:start", "calls", f"{_FN}util.ts:pad", "0.5")) + ")",
+    "i8_heritage_case": _rows("source, kind, target", ("class:r/src/impl.ts:Impl", "extends", "class:r/src/base.ts:Base"), ("class:r/src/impl.ts:Impl", "implements", "interface:r/src/base.ts:Port")),
+    "i9_tiered_calls_case": "SELECT source, kind, target, CAST(weight AS DOUBLE) AS weight FROM (" + _rows("source, kind, target, weight", (f"{_FN}impl.ts:start", "calls", f"{_FN}base.ts:helper", "0.9"), (f"{_FN}impl.ts:start", "calls", f"{_FN}util.ts:pad", "0.9")) + ")",
+    "i11_bindings_case": _rows("repo, path, local, target, exported", *[("r", f"r/src/{p}.ts", a, f"r/src/{t}.ts", b) for p, a, t, b in (("impl", "B", "base", "Base"), ("impl", "helper", "base", "helper"), ("impl", "util", "util", "*"), ("all", "send", "mail", "send"), ("index", "send", "mail", "send"))]),
+    "d10_findings_case": "SELECT path, CAST(line AS BIGINT) AS line, type, sink, severity, cwe FROM (" + _rows("path, line, type, sink, severity, cwe", *[("r/src/api.ts", *x) for x in ((2, "SSRF", "fetch", "HIGH", "CWE-918"), (4, "SQL_INJECTION", "db.query", "HIGH", "CWE-89"), (7, "COMMAND_INJECTION", "exec", "HIGH", "CWE-78"))]) + ")",
+    "d14_vulnerabilities_case": f"SELECT 'vuln:' || type || ':' || id AS id, type AS name, severity FROM ({_own_sql(ingestion.SQL['d11_name_findings'])})",
+    "d15_severe_case": f"SELECT id, type FROM ({_own_sql(ingestion.SQL['d11_name_findings'])}) WHERE severity IN ('HIGH', 'CRITICAL')",
+    "f3_flows_case": _rows("entry, flow, steps", *[(_FLOW[0], i + 1, " > ".join([*_FLOW, e])) for i, e in enumerate((f"{_FN}bus.ts:emitEvent", f"{_FN}db.ts:db.query"))]),
+    "f5_flow_steps_case": _rows("source, kind, target, label", *[(f"flow:{i + 1}", "step_of", t, f"step {k}") for i, e in enumerate((f"{_FN}bus.ts:emitEvent", f"{_FN}db.ts:db.query")) for k, t in enumerate([*_FLOW, e])]),
+}

@@ -84,7 +84,8 @@ def i2_symbols(spark, d):
 @_register(None)
 def i1_signatures(spark, d):
     """Python symbols from the syntax tree, with parameters, return type, documentation and decorators."""
-    return I.signatures(source_files(spark, d))
+    joined = F.when(F.col("parameters").isNotNull(), F.array_join("parameters", ", "))
+    return I.signatures(source_files(spark, d)).withColumn("parameters", joined).withColumn("decorators", F.array_join("decorators", ", "))
 
 
 def _read(spark, d):
