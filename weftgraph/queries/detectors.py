@@ -9,6 +9,7 @@ from weftgraph.graph import EDGES_SQL, GRAPH_SQL, edges, meta, meta_sql, nodes
 from weftgraph.operators import components as C
 from weftgraph.operators import detect as D
 from weftgraph.operators import flows as W
+from weftgraph.operators import lookup as L
 from weftgraph.operators.reach import steps_of
 from weftgraph.queries.graph import _named
 
@@ -253,6 +254,24 @@ def f6_directory_clusters(spark, d):
     return W.directory_clusters(nodes(spark, d, ["id", "ord", "kind", "file_path"]))
 
 
+_LKINDS = ", ".join(f"'{k}'" for k in W.LIBRARY_CLUSTER_KINDS)
+
+
+@_register(f"WITH {GRAPH_SQL}, m AS (SELECT {_DIR} AS directory FROM nodes WHERE kind IN ({_LKINDS})) SELECT directory, count(*) AS n_members FROM m WHERE (SELECT count(*) FROM m) >= 10 GROUP BY 1 HAVING count(*) >= 2")
+def f7_library_clusters(spark, d):
+    return W.directory_clusters(nodes(spark, d, ["id", "ord", "kind", "file_path"]), library=True)
+
+
+@_register(f"""WITH {GRAPH_SQL}, m AS (SELECT id, ord, name, {_DIR} AS directory FROM nodes WHERE kind IN ({_KINDS})), c AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY ord, id) AS r, count(*) OVER (PARTITION BY directory) AS n FROM m)
+SELECT 'cluster:' || directory AS id, directory AS name, n AS n_members, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 10) AS members FROM c WHERE n >= 2 GROUP BY directory, n""")
+def sv7_clusters(spark, d):
+    """The cluster listing over the directory clusters."""
+    n = nodes(spark, d, ["id", "ord", "kind", "name", "file_path"])
+    links = W.cluster_edges(n).join(n.select(F.col("id").alias("source"), "ord"), "source")
+    heads = W.directory_clusters(n).select(F.concat(F.lit("cluster:"), F.col("directory")).alias("id"), F.lit(None).cast("long").alias("ord"), F.lit("cluster").alias("kind"), F.col("directory").alias("name"), F.lit(None).cast("string").alias("file_path"))
+    return L.clusters(n.unionByName(heads), links).withColumn("members", F.array_join("members", ", "))
+
+
 @_register(f"""WITH {GRAPH_SQL}, m AS (SELECT id, {_DIR} AS directory FROM nodes WHERE kind IN ({_KINDS}))
 SELECT id AS source, 'belongs_to' AS kind, 'cluster:' || directory AS target FROM m WHERE directory IN (SELECT directory FROM m GROUP BY 1 HAVING count(*) >= 2)""")
 def f6_cluster_edges(spark, d):

@@ -262,3 +262,15 @@ def w2_sessions(spark, d):
 
     r = load(spark, d, "code_nodes").where("indexed_at is not null and repo is not null").select("repo", F.col("indexed_at").cast("timestamp").alias("at"))
     return r.groupBy("repo", F.session_window("at", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("repo", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+
+
+@_register("""WITH e AS (SELECT user_id AS job, ts AS t0, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS what FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT job, max(t0) AS t1, max_by(what, (t0, what)) AS last, count(*) FILTER (WHERE what = 'failed') AS f FROM e GROUP BY job)
+SELECT job, CASE WHEN last = 'succeeded' THEN 'success' WHEN last = 'cancelled' THEN 'cancelled' WHEN last = 'failed' AND f > 3 THEN 'dead' WHEN last = 'failed' THEN 'failed' WHEN last = 'started' AND date_diff('second', t1, TIMESTAMP '2024-01-30 23:58:00') > 1800 THEN 'dead' WHEN last = 'started' THEN 'running' ELSE 'pending' END AS status FROM l""")
+def w5_job_status(spark, d):
+    """The events of a user read as those of a job."""
+    from weftgraph.tables import load
+
+    what = F.create_map(*[F.lit(x) for x in ("view", "queued", "click", "started", "purchase", "succeeded", "error", "failed")])
+    e = load(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.coalesce(F.try_element_at(what, F.col("event_type")), F.lit("cancelled")).alias("what"))
+    return W.job_status(e, "2024-01-30 23:58:00").select("job", "status")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.functions.text import EXCLUDED_INTENTS, SEPARATORS, intent_sql
-from weftgraph.graph import GRAPH_SQL, edges, nodes
+from weftgraph.graph import GRAPH_SQL, edges, meta_sql, nodes
 from weftgraph.operators import contracts as K
 from weftgraph.operators import impact as I
 from weftgraph.operators import search as S
@@ -245,3 +245,14 @@ def g17_untested_callers(spark, d):
 @_register(f"""WITH {GRAPH_SQL} SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{c[0]}'" for p, c in I.CASES)} ELSE '{I.DEFAULT_CASES[0]}' END AS first_case FROM nodes WHERE kind = 'function'""")
 def g18_suggested_cases(spark, d):
     return nodes(spark, d, ["id", "ord", "kind", "name"], ["function"]).select("id", I.suggested_cases(F.col("name"))[0].alias("first_case"))
+
+
+@_register(f"WITH {GRAPH_SQL} SELECT id, substring(CASE WHEN {meta_sql('summary')} IS NOT NULL THEN concat_ws(chr(10), '[' || kind || '] ' || name, trim(split_part(coalesce(content, ''), chr(10), 1)), {meta_sql('summary')}) ELSE concat_ws(chr(10), concat_ws(' ', kind, name), file_path, coalesce(content, '')) END, 1, 512) AS text FROM nodes")
+def t15_embedding_text(spark, d):
+    return nodes(spark, d, ["id", "kind", "name", "file_path", "content", "metadata"]).select("id", S.embedding_text().alias("text"))
+
+
+@_register(f"WITH {GRAPH_SQL}, {_TOKENS}, {_bm25_sql(ASK, 20)} SELECT t.id, n.name, n.file_path, t.score FROM top t JOIN nodes n USING (id)")
+def t14_scoped_search(spark, d):
+    """The best mode without vectors."""
+    return S.scoped("auto", S.ranked(S.bm25(_index(spark, d), ASK, 20), F.desc("score"), "ord", "id"), None, nodes(spark, d, ["id", "name", "file_path"]), 20)[0].select("id", "name", "file_path", "score")
