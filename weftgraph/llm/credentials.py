@@ -48,6 +48,8 @@ _LISTED = re.compile(_PIECE.pattern.replace("(?:\\+|", "(?:,|\\+|", 1))
 _COMMENT = re.compile(r"[ \t]*(?://|#|/\*|\*|--|<!--|;)")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _STRONG = re.compile(r"(?:api|access|private|signing|service|session|client|webhook|auth|db|database|account|encryption|master|deploy|admin|user|root|refresh|bearer|storage|shared|app|ssh|jwt|bot|license|registry)[ ]?(?:key|token|secret|password|passwd|pass|pwd|credential)s?\b|\b(?:password|passwd|passphrase|pwd|secret|credentials?|authorization)\b|\b(?:login|connect|sign ?in|authenticate) ?(?:as|with)?\b")
+#: A word of ``_STRONG`` holds one of these.
+_STEM = re.compile(r"key|token|secret|pass|pwd|cred|auth|login|connect|sign", re.I)
 _WEAK = re.compile(r"\b(?:token|key|auth|pass|bearer|basic|apikey|login)\b")
 _DIGEST = re.compile(r"\b(?:integrity|digest|checksum|sha ?\d*|md ?5|hash|etag|fingerprint|commit|revision|public|nonce|uuid|guid|image)\b")
 _PLACEHOLDER = re.compile(r"^(?:(.)\1{3,}.*|.*(?:x{4,}|\*{3,}|\.{3,}|_{4,}|-{4,}|0{8,}|1234567).*)$|replace[_-]?(?:me|this)|change[_-]?(?:me|it|this)|\byour[_-]|[_-](?:here|goes)\b|example|placeholder|dummy|sample[_-]?(?:key|token|secret)|redacted|insert[_-]|todo|fixme|not[_-]?(?:a|the|real|set)|fake|\bnone\b|\bnull\b|foobar|lorem", re.I)
@@ -57,6 +59,7 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HEX, _JWT = re.compile(r"^(?:0x)?[0-9a-fA-F]+$"), re.compile(r"^ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}$")
 _KNOWN = re.compile(r"^(?:(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{16}|AIza[\w-]{35}|(?:sk|rk)[-_](?:live_|test_|proj-|ant-)?[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{10,}|npm_[A-Za-z0-9]{20,}|pypi-[\w-]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|dop_v1_\w{20,}|shp(?:at|ss)_\w{16,}|ya29\.[\w-]{16,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*)$")
 _PUBLIC = re.compile(r"^(?:(?:pk|pub|public|publishable)[-_]|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|AAAA[BC]3Nza)", re.I)
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"\d")
 _MIXED = re.compile(r"[a-z][A-Z]+[a-z]+[A-Z]+[a-z]*[A-Z]|^[A-Z0-9]{16,}$")
 _PREFIXED = re.compile(r"^[a-z]{2,8}\d?(?:[-_.][a-z]{2,8})?[-_.](?=[A-Za-z0-9_.-]*\d)(?=[A-Za-z0-9_.-]*[A-Z])[A-Za-z0-9_.-]{12,}$")
 _PASSWORD = re.compile(r"^(?=[^\d]*\d)(?=.*[A-Za-z])[A-Za-z]+(?:[-_.]?[A-Za-z]+){0,3}\d{1,4}[!#%$@&*?^~]*$")
@@ -111,14 +114,14 @@ def candidates(text: str, config: bool) -> list[Candidate]:
             continue
         v = m.group(2)
         quoted = m.group(1) in "\"'`"
-        digit, alpha = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
-        if not alpha:
+        if not _LETTER.search(v):
             continue
+        digit = bool(_DIGIT.search(v))
         newline = text.rfind("\n", line_seen, s)
         begin = line_at = newline + 1 if newline >= 0 else line_at
         line_seen = s
         left = text[max(begin, s - CONTEXT) : s]
-        if (len(v) < 8 or not (digit or _MIXED.search(v))) and not _STRONG.search(_words(left)):
+        if (len(v) < 8 or not (digit or _MIXED.search(v))) and not (_STEM.search(left) and _STRONG.search(_words(left))):
             continue
         comment = bool(_COMMENT.match(text, begin))
         after = text[e : e + 1]
