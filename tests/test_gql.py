@@ -89,3 +89,20 @@ def test_saved_queries(tmp_path):
     assert q.list() == ["a", "b"] and q.load("b") == "FIND class" and q.delete("a") and not q.exists("a") and not q.delete("a")
     with pytest.raises(ValueError):
         q.save("../x", "")
+
+
+def test_deadline_keeps_what_came(spark):
+    import time
+
+    def slow(batches):
+        for pdf in batches:
+            time.sleep(0.0 if (pdf["id"] < 2).all() else 30.0)
+            yield pdf
+
+    df = spark.range(0, 6, 1, 3).mapInPandas(slow, "id long")
+    began = time.time()
+    rows, cut = gql.within(df, 3.0)
+    assert cut and time.time() - began < 20 and {r.id for r in rows} <= {0, 1}
+    assert gql.within(spark.range(5), 60.0) == ([*spark.range(5).collect()], False)
+    with pytest.raises(Exception, match="raised here"):
+        gql.within(spark.range(1).selectExpr("raise_error('raised here')"), 60.0)

@@ -228,3 +228,42 @@ def test_secrets(spark):
     f = spark.createDataFrame([("1", "src/a.ts", text), ("2", "src/a.test.ts", text), ("3", "b", None)], "id string, file_path string, content string")
     assert {(r.line, r.pattern) for r in X.secrets(f).collect()} == {(2, "cloud-key"), (3, "named-secret"), (5, "database-url"), (6, "private-key")}
     assert X.secrets(f, tests=True).where("id = '2'").count() == 4
+
+
+def test_breaker_and_patience():
+    from weftgraph.operators import summarize as S
+
+    now, waits, calls = [0.0], [], []
+    breaker = S.Breaker(lambda: now[0])
+    fail = lambda: (_ for _ in ()).throw(RuntimeError("bad"))
+    for _ in range(S.FAILURES):
+        with pytest.raises(RuntimeError, match="bad"):
+            breaker(fail)
+    with pytest.raises(S.BreakerOpen):
+        breaker(lambda: 1)
+    now[0] = S.PAUSE + 1
+    assert breaker(lambda: 7) == 7 and breaker.row == 0
+
+    def busy():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("HTTP 429: too many requests")
+        return "ok"
+
+    assert S.patiently(busy, sleep=waits.append) == "ok" and len(waits) == 2 and waits[1] > waits[0] >= S.FIRST_WAIT
+    with pytest.raises(RuntimeError, match="bad"):
+        S.patiently(fail, sleep=waits.append)
+    assert len(waits) == 2
+
+
+def test_summarize_in_batches(spark):
+    from weftgraph.operators import summarize as S
+
+    def model(texts):
+        if "broken" in texts:
+            raise ValueError("no")
+        return [f"{len(texts)}: {t}" for t in texts]
+
+    rows = [(f"n{i}", "h", "broken" if i == 45 else f"t{i}") for i in range(50)]
+    got = {r.id: r.summary for r in S.summarize(spark.createDataFrame(rows, "id string, code_hash string, content string").coalesce(1), model).collect()}
+    assert len(got) == 40 and got["n0"] == "20: t0" and "n45" not in got

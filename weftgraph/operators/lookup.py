@@ -22,7 +22,16 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def inspect(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """``relation, id, name`` around the first node of that name; imports are outgoing, importedBy incoming."""
-    me = first_named(nodes, name).select(F.col("id").alias("me"))
+    return around(nodes, edges, first_named(nodes, name))
+
+
+def node_detail(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``relation, id, name`` around the node with this id."""
+    return around(nodes, edges, nodes.where(F.col("id") == node))
+
+
+def around(nodes: DataFrame, edges: DataFrame, one: DataFrame) -> DataFrame:
+    me = one.select(F.col("id").alias("me"))
     ends = nodes.select("id", "name")
     parts = []
     for relation, kinds, direction in RELATIONS:

@@ -14,6 +14,8 @@ result, so predicates reach the scan and the optimizer sees the whole query.
 from __future__ import annotations
 
 import os
+import threading
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -336,6 +338,38 @@ def run(text: str, nodes: DataFrame, edges: DataFrame, limit: int | None = None)
     return ast if isinstance(ast, GqlError) else plan(with_limit(ast, limit), nodes, edges)
 
 
+#: Fixed value: how long a query may take, in seconds.
+DEADLINE = 10.0
+
+
+def within(df: DataFrame, seconds: float = DEADLINE) -> tuple[list, bool]:
+    """(rows that arrived in time, whether the deadline cut the rest off). Rows come partition by partition; at the
+    deadline the jobs of the query are cancelled."""
+    sc = df.sparkSession.sparkContext
+    group, over = f"gql-{uuid.uuid4().hex}", threading.Event()
+    sc.setJobGroup(group, "query with a deadline", interruptOnCancel=True)
+
+    def stop() -> None:
+        over.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.start()
+    rows: list = []
+    try:
+        for row in df.toLocalIterator():
+            if over.is_set():
+                break
+            rows.append(row)
+    except Exception:
+        if not over.is_set():
+            raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return rows, over.is_set()
+
+
 def explain(ast, n_nodes: int, n_edges: int) -> dict:
     """Steps and an estimated cost, in nodes or edges touched."""
     if isinstance(ast, Find | Count):

@@ -174,6 +174,21 @@ def sv2_inspect(spark, d):
     return L.inspect(nodes(spark, d, ["id", "ord", "name"]), edges(spark, d), HUB)
 
 
+ALL_FILE = "file:quarry-core/shared/registry/all.ts:all.ts"
+
+
+@_register(f"""WITH {GRAPH_SQL}, me AS (SELECT id FROM nodes WHERE id = '{ALL_FILE}')
+SELECT 'callers' AS relation, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'calls' AND e.target IN (SELECT id FROM me)
+UNION ALL SELECT 'callees', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'calls' AND e.source IN (SELECT id FROM me)
+UNION ALL SELECT 'imports', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'imports' AND e.source IN (SELECT id FROM me)
+UNION ALL SELECT 'importedBy', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'imports' AND e.target IN (SELECT id FROM me)
+UNION ALL SELECT 'heritage', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind IN ('extends', 'implements') AND e.source IN (SELECT id FROM me)
+UNION ALL SELECT 'members', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'has_member' AND e.source IN (SELECT id FROM me)
+UNION ALL SELECT 'cluster', n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'belongs_to' AND e.source IN (SELECT id FROM me)""")
+def sv3_node_detail(spark, d):
+    return L.node_detail(nodes(spark, d, ["id", "ord", "name"]), edges(spark, d), ALL_FILE)
+
+
 @_register(f"WITH {GRAPH_SQL} SELECT id, kind, name, start_line FROM nodes WHERE contains(file_path, 'shared/') ORDER BY coalesce(start_line, 0), ord, id LIMIT 200 OFFSET 5")
 def sv4_file_symbols(spark, d):
     return L.file_symbols(nodes(spark, d, _SLIM), "shared/", limit=200, offset=5).select("id", "kind", "name", "start_line")
