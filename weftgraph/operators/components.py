@@ -27,19 +27,19 @@ def _trim(steps: DataFrame) -> DataFrame:
 def _spread(ids: DataFrame, steps: DataFrame, stash: Stash) -> DataFrame:
     """``id, fore, back``: the least id that reaches a node, and the least it reaches. Both directions travel in one
     join, and every label is also replaced by the label of the node it names: what reaches that node reaches this one.
-    So labels jump over the ways they have been before, and rounds grow with the logarithm of most distances rather
-    than with the distance. A round without a change ends the loop."""
+    So labels jump over ways they have been before, which saves some rounds; in the worst case there are as many as the
+    longest shortest way. A round without a change ends the loop."""
     ways = stash.put(steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("f")).unionByName(steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("f"))), "ways")
     labels = stash.put(ids.select("id", F.col("id").alias("fore"), F.col("id").alias("back")), "labels")
     nothing = F.lit(None).cast(dict(labels.dtypes)["fore"])
 
     def better(now: DataFrame) -> DataFrame:
         told = now.select(F.col("id").alias("a"), "fore", "back")
-        by_step = ways.join(told, "a").select(F.col("b").alias("id"), F.when(F.col("f"), F.col("fore")).alias("f"), F.when(~F.col("f"), F.col("back")).alias("b"))
-        named = F.explode(F.array(F.struct(F.lit(True).alias("f"), F.col("fore").alias("a")), F.struct(F.lit(False).alias("f"), F.col("back").alias("a"))))
-        by_jump = now.select("id", named.alias("j")).where(F.col("j.a") != F.col("id")).select("id", "j.f", "j.a").join(told, "a").select("id", F.when(F.col("f"), F.col("fore")).alias("f"), F.when(~F.col("f"), F.col("back")).alias("b"))
+        named = F.explode(F.array(F.struct(F.col("fore").alias("a"), F.lit(True).alias("f")), F.struct(F.col("back").alias("a"), F.lit(False).alias("f"))))
+        jumps = now.select("id", named.alias("j")).where(F.col("j.a") != F.col("id")).select("j.a", F.col("id").alias("b"), "j.f")
+        heard = ways.select("a", "b", "f").unionByName(jumps).join(told, "a").select(F.col("b").alias("id"), F.when(F.col("f"), F.col("fore")).alias("f"), F.when(~F.col("f"), F.col("back")).alias("b"))
         own = now.select("id", F.col("fore").alias("f"), F.col("back").alias("b"), "__f0", "__b0")
-        whole = own.unionByName(by_step.unionByName(by_jump).withColumn("__f0", nothing).withColumn("__b0", nothing))
+        whole = own.unionByName(heard.withColumn("__f0", nothing).withColumn("__b0", nothing))
         return whole.groupBy("id").agg(F.min("f").alias("fore"), F.min("b").alias("back"), F.max("__f0").alias("__f0"), F.max("__b0").alias("__b0"))
 
     changed = 1

@@ -35,7 +35,7 @@ class Index:
 
 
 def document_text(content_chars: int = 1000) -> Column:
-    """What is indexed of a node: name, kind, path and the head of its content, as the reference index defines."""
+    """What is indexed of a node: name, kind, path and the head of its content; its length is a fixed value."""
     return F.concat_ws(" ", "name", "kind", "file_path", F.substring(F.coalesce("content", F.lit("")), 1, content_chars))
 
 
