@@ -155,6 +155,14 @@ INTENTS = [("code", r"\b(show|code|implement|source|how is written|function body
 MAX_SEEDS = 10
 
 
+def question_intents(question: Column) -> Column:
+    """The same of a column of questions."""
+    text, out = F.lower(question), None
+    for name, pattern in INTENTS:
+        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+    return out.otherwise("auto")
+
+
 def question_intent(question: str) -> str:
     return next((n for n, p in INTENTS if re.search(p, question.lower())), "auto")
 

@@ -96,6 +96,15 @@ def clusters(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     return nodes.where(F.col("kind") == "cluster").select("id", "name").join(sizes, "id", "left").join(lists, "id", "left").fillna(0, ["n_members"])
 
 
+def flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, n_steps, steps``: flows with the names of their steps in order, from step_of edges (source, target, label);
+    a flow has at most the depth it was traced to."""
+    at = F.regexp_extract("label", r"(\d+)$", 1).cast("int")
+    steps = edges.where(F.col("kind") == "step_of").select(F.col("source").alias("flow"), F.col("target").alias("id"), at.alias("at")).join(nodes.select("id", "name"), "id", "left")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("name", "id").alias("name")))), lambda x: x["name"])
+    return steps.groupBy(F.col("flow").alias("id")).agg(F.count("*").alias("n_steps"), listed.alias("steps"))
+
+
 def page(nodes: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
     return nodes.orderBy("ord", "id").offset(offset).limit(min(limit, 1000))
 

@@ -125,7 +125,7 @@ SQL: dict[str, str] = {f"{n}_case": _own_sql(m.SQL[n]) for m, names in _SAME for
 
 _FN = "function:r/src/"
 QUERIES |= {f"{n}_case": _case(ingestion.QUERIES[n]) for n in ("i1_signatures", "i4_imports", "i7_calls", "i8_heritage", "i9_tiered_calls", "i11_bindings", "d10_findings")}
-QUERIES |= {"d14_vulnerabilities_case": _case(_vulnerabilities), "d15_severe_case": _case(_severe), "f3_flows_case": _case(_flows), "f5_flow_steps_case": _case(detectors.QUERIES["f5_flow_steps"])}
+QUERIES |= {"d14_vulnerabilities_case": _case(_vulnerabilities), "d15_severe_case": _case(_severe), "f3_flows_case": _case(_flows), "f5_flow_steps_case": _case(detectors.QUERIES["f5_flow_steps"]), "sv8_flows_case": _case(detectors.QUERIES["sv8_flows"])}
 _FLOW = f"{_FN}util.ts:unusedHelper", f"{_FN}mail.ts:send"
 SQL |= {
     "i1_signatures_case": _rows(
@@ -141,5 +141,6 @@ SQL |= {
     "d14_vulnerabilities_case": f"SELECT 'vuln:' || type || ':' || id AS id, type AS name, severity FROM ({_own_sql(ingestion.SQL['d11_name_findings'])})",
     "d15_severe_case": f"SELECT id, type FROM ({_own_sql(ingestion.SQL['d11_name_findings'])}) WHERE severity IN ('HIGH', 'CRITICAL')",
     "f3_flows_case": _rows("entry, flow, steps", *[(_FLOW[0], i + 1, " > ".join([*_FLOW, e])) for i, e in enumerate((f"{_FN}bus.ts:emitEvent", f"{_FN}db.ts:db.query"))]),
+    "sv8_flows_case": _rows("id, n_steps, steps", ("flow:1", 3, "unusedHelper > send > emitEvent"), ("flow:2", 3, "unusedHelper > send > db.query")),
     "f5_flow_steps_case": _rows("source, kind, target, label", *[(f"flow:{i + 1}", "step_of", t, f"step {k}") for i, e in enumerate((f"{_FN}bus.ts:emitEvent", f"{_FN}db.ts:db.query")) for k, t in enumerate([*_FLOW, e])]),
 }

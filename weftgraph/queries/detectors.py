@@ -245,6 +245,12 @@ def f5_flow_steps(spark, d):
     return W.flow_steps(W.trace_flows(nodes(spark, d, _SLIM), edges(spark, d, ["calls"])))
 
 
+@_register(None)
+def sv8_flows(spark, d):
+    """The listing of the traced flows."""
+    return L.flows(nodes(spark, d, ["id", "name"]), f5_flow_steps(spark, d)).withColumn("steps", F.array_join("steps", " > "))
+
+
 _DIR = "CASE WHEN contains(file_path, '/') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) ELSE '.' END"
 _KINDS = ", ".join(f"'{k}'" for k in W.CLUSTER_KINDS)
 

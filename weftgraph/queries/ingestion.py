@@ -76,6 +76,13 @@ def i2_symbols_line_languages(spark, d):
     return I.parse(source_files(spark, d)).where(F.col("language").isin("python", "go", "ruby")).select("repo", "path", "kind", "name").distinct()
 
 
+@_register(f"""WITH {GRAPH_SQL}, {_LINES}, {_PY}, {_GO}, {_RUBY} SELECT repo, file_path AS path, kind, name, CASE lang WHEN 'py' THEN NOT starts_with(name, '_') WHEN 'go' THEN name[1] = upper(name[1]) ELSE true END AS exported
+FROM (SELECT *, 'py' AS lang FROM py UNION ALL SELECT *, 'go' FROM go_ WHERE kind IS NOT NULL UNION ALL SELECT *, 'rb' FROM rb) GROUP BY ALL""")
+def i3_exported(spark, d):
+    """What is visible outside, by the rules of Python, Go and Ruby."""
+    return I.parse(source_files(spark, d)).where(F.col("language").isin("python", "go", "ruby")).select("repo", "path", "kind", "name", "exported").distinct()
+
+
 @_register(None)
 def i2_symbols(spark, d):
     return I.parse(source_files(spark, d)).select("repo", "path", "kind", "name", "start_line", "end_line", "exported")

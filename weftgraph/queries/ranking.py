@@ -256,3 +256,9 @@ def t15_embedding_text(spark, d):
 def t14_scoped_search(spark, d):
     """The best mode without vectors."""
     return S.scoped("auto", S.ranked(S.bm25(_index(spark, d), ASK, 20), F.desc("score"), "ord", "id"), None, nodes(spark, d, ["id", "name", "file_path"]), 20)[0].select("id", "name", "file_path", "score")
+
+
+@_register("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in I.INTENTS) + " ELSE 'auto' END AS intent FROM documents WHERE text IS NOT NULL")
+def t21_question_intents(spark, d):
+    """The intent a text would have as a question."""
+    return load(spark, d, "documents").where("text is not null").select("doc_id", I.question_intents(F.col("text")).alias("intent"))
