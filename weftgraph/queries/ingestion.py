@@ -183,7 +183,7 @@ def _any(names: list[str]) -> str:
 _NO_TEXT = r"""regexp_replace(replace(s0, chr(65279), ''), '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`[^`]*`', '""', 'g')"""
 _CODE_LINES = rf"""{_FILES}, ln AS (SELECT repo, file_path, line, {_TRIM} AS s FROM (SELECT repo, file_path, line, s0, {_NO_TEXT} AS txt FROM (SELECT repo, file_path, unnest(l) AS s0, CAST(generate_subscripts(l, 1) AS BIGINT) AS line
  FROM (SELECT repo, file_path, string_split(content, chr(10)) AS l FROM files WHERE ext IN ('go', 'java', 'rs', 'c', 'h', 'rb'))))),
- g AS (SELECT repo, file_path, line, regexp_extract_all(s, '([\w$]+(?:(?:\.|->|::)[\w$]+)*)\s*\(\s*[^)\s]', 1) AS c FROM ln WHERE NOT (starts_with(s, '//') OR starts_with(s, '#') OR starts_with(s, 'import ')))""".replace("trim(line,", "trim(txt,")
+ g AS (SELECT repo, file_path, line, regexp_extract_all(s, '([\w$]+(?:(?:\.|->|::)[\w$]+)*)\s*\(\s*(?:[^)\s]|$)', 1) AS c FROM ln WHERE NOT (starts_with(s, '//') OR starts_with(s, '#') OR starts_with(s, 'import ')))""".replace("trim(line,", "trim(txt,")
 _SINKS = " UNION ALL ".join(f"SELECT repo, file_path AS path, line, '{t}' AS type, list_filter(c, lambda x : regexp_matches(x, '(?i){_any(n)}'))[1] AS sink FROM g" for t, n in X.GENERIC_SINKS.items())
 _SINKS += rf" UNION ALL SELECT repo, file_path, line, 'COMMAND_INJECTION', regexp_extract(list_filter(c, lambda x : regexp_matches(x, '(?i)(?:^|[^\w])(?:{_any(X.GENERIC_COMMANDS)})$'))[1], '(?i)({_any(X.GENERIC_COMMANDS)})$', 1) FROM g"
 
@@ -194,6 +194,21 @@ def d7_sinks(spark, d):
     return _signals(spark, d).select("path", "type", "sink").distinct()
 
 
+_CALLED = rf"""{_FILES}, flat AS (SELECT file_path, ext, regexp_replace(content, '(?s)/\*.*?\*/|\"\"\".*?\"\"\"|`[^`]*`', '""', 'g') AS text FROM files WHERE ext IN ('go', 'java', 'rs', 'c', 'h', 'rb', 'py', 'ts', 'mts', 'js', 'mjs')),
+ whole AS (SELECT file_path, ext, unnest(string_split(text, chr(10))) AS s0 FROM flat), bare AS (SELECT file_path, regexp_replace({_NO_TEXT}, CASE WHEN ext IN ('py', 'rb') THEN '#.*$' ELSE '//.*$' END, '', 'g') AS s FROM whole),
+ c AS (SELECT file_path AS path, unnest(regexp_extract_all(s, '(?:\w+\s+)?[\w$@]+(?:(?:\.|->|::)[\w$@]+)*\s*\(')) AS m FROM bare WHERE NOT starts_with(ltrim(s), '#')),
+ k AS (SELECT path, regexp_extract(m, '^(\w+)\s+[\w$@]', 1) AS word, regexp_extract(m, '([\w$@]+(?:(?:\.|->|::)[\w$@]+)*)\s*\($', 1) AS chain FROM c)"""
+_WORDS = ", ".join(f"'{w}'" for w in I.NO_CALLS)
+_DECL = ", ".join(f"'{w}'" for w in sorted(I.DECLARERS))
+
+
+@_register(rf"""WITH {GRAPH_SQL}, {_CALLED} SELECT DISTINCT path, regexp_extract(chain, '([\w$@]+)$', 1) AS name FROM k
+WHERE word NOT IN ({_DECL}) AND regexp_extract(chain, '([\w$@]+)$', 1) NOT IN ({_WORDS}) AND regexp_extract(chain, '^([\w$@]+)', 1) NOT IN ({_WORDS})""")
+def i6_called_names(spark, d):
+    """The names each file calls, those in strings and comments aside."""
+    return _read(spark, d)[2].where("fact = 'call'").select("path", "name").distinct()
+
+
 @_register(f"""WITH {GRAPH_SQL}, {_CODE_LINES}, k AS (SELECT repo, path, line, type, sink FROM ({_SINKS}) WHERE sink IS NOT NULL),
 o AS (SELECT k.path, k.type, k.sink, k.line, max_by(n.id, (n.start_line, n.id)) AS node_id FROM k LEFT JOIN nodes n ON n.kind IN ('function', 'method') AND n.repo = k.repo AND n.file_path = k.path AND n.start_line <= k.line AND (n.end_line IS NULL OR k.line <= n.end_line) GROUP BY 1, 2, 3, 4)
 SELECT DISTINCT path, type, sink, node_id FROM o""")
